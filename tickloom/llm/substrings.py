@@ -186,38 +186,62 @@ def _candidates(docs: DataFrame, n: int, bits, shards: int) -> DataFrame:
     return docs.mapInArrow(run, _PACKED)
 
 
-def _repeats(packed: DataFrame, parts: int) -> DataFrame:
-    """(_id, _tag, places): starts of windows that also start in a document with a smaller id."""
+_FOUND = "bucket int, ids binary, tags binary, counts binary, places binary"
 
-    def run(batches):
-        names = ["_id", "_tag", "places"]
 
-        def out(ids, tags, places):
-            order = np.lexsort((tags, ids))
-            ids, tags, places = ids[order], tags[order], places[order]
-            cuts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])
-            ends = np.r_[cuts[1:], len(ids)]
-            return pa.RecordBatch.from_arrays([pa.array(ids[cuts]), pa.array(tags[cuts]), pa.array([places[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=names)
+def _by_document(ids, tags, places) -> tuple:
+    """Distinct (id, tag), the number of places of each, and the places in that order."""
+    order = np.lexsort((tags, ids))
+    ids, tags, places = ids[order], tags[order], places[order]
+    cuts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])
+    return ids[cuts], tags[cuts], np.diff(np.r_[cuts, len(ids)]).astype(np.uint32), places
+
+
+def _unpacked(r: dict) -> tuple:
+    counts = np.frombuffer(r["counts"], np.uint32)
+    ids, tags = (np.repeat(np.frombuffer(r[k], np.int64), counts) for k in ("ids", "tags"))
+    return ids, tags, np.frombuffer(r["places"], np.uint32)
+
 
+def _repeats(packed: DataFrame, parts: int) -> DataFrame:
+    """(_id, _tag, places): starts of windows that also start in a document with a smaller id, a row for each document."""
+
+    def judge(batches):
         held: list[tuple] = []
+        known: list[tuple] = []
         for b in batches:
             for r in b.to_pylist():
-                counts = np.frombuffer(r["counts"], np.uint32)
-                ids, tags = (np.repeat(np.frombuffer(r[k], np.int64), counts) for k in ("ids", "tags"))
-                places = np.frombuffer(r["places"], np.uint32)
                 if r["main"]:
-                    held.append((ids, tags, np.frombuffer(r["main"], np.uint64), np.frombuffer(r["check"], np.uint32), places))
+                    held.append((*_unpacked(r), np.frombuffer(r["main"], np.uint64), np.frombuffer(r["check"], np.uint32)))
                 else:
-                    yield out(ids, tags, places)
+                    known.append(_unpacked(r))
         if held:
-            ids, tags, main, check, places = (np.concatenate([x[k] for x in held]) for k in range(5))
+            ids, tags, places, main, check = (np.concatenate([x[k] for x in held]) for k in range(5))
             held.clear()
             order, again = _grouped(main, check, ids)
-            at = order[again]
-            if len(at):
-                yield out(ids[at], tags[at], places[at])
+            known.append(tuple(x[order[again]] for x in (ids, tags, places)))
+        if known:
+            ids, tags, places = (np.concatenate([x[k] for x in known]) for k in range(3))
+            bucket = (mix(ids.view(np.uint64) ^ mix(tags.view(np.uint64))) % np.uint64(2 * parts)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(2 * parts + 1))
+            for k in range(2 * parts):
+                at = order[cuts[k] : cuts[k + 1]]
+                if len(at):
+                    got = _by_document(ids[at], tags[at], places[at])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in got)], names=[x.split()[0] for x in _FOUND.split(", ")])
+
+    def gather(batches):
+        held = [_unpacked(r) for b in batches for r in b.to_pylist()]
+        if held:
+            ids, tags, counts, places = _by_document(*(np.concatenate([x[k] for x in held]) for k in range(3)))
+            ends = np.cumsum(counts, dtype=np.int64)
+            for at in range(0, len(ids), 1000):
+                some = [places[e - c : e].tobytes() for e, c in zip(ends[at : at + 1000].tolist(), counts[at : at + 1000].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 1000]), pa.array(tags[at : at + 1000]), pa.array(some, pa.binary())], names=["_id", "_tag", "places"])
 
-    return packed.repartition(parts, "shard").mapInArrow(run, "_id long, _tag long, places binary")
+    judged = packed.repartition(parts, "shard").mapInArrow(judge, _FOUND)
+    return judged.repartition(parts, "bucket").mapInArrow(gather, "_id long, _tag long, places binary")
 
 
 def without(text: str | None, starts: np.ndarray, n: int) -> tuple[int, int, str]:
@@ -252,14 +276,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     slim = base.select("_id", "_tag", "_text")
     bits = spark.sparkContext.broadcast(repeated_cells(slim, n))
-    found = _repeats(_candidates(slim, n, bits, 2 * parts), parts).groupBy("_id", "_tag").agg(F.collect_list("places").alias("_places"))
+    found = _repeats(_candidates(slim, n, bits, 2 * parts), parts).withColumnRenamed("places", "_places")
     joined = base.join(found, ["_id", "_tag"], "left").select("_id", "_text", "_places", "_carried")
 
     def cut(batches):
         for b in batches:
             got = []
             for text, places in zip(b.column(1), b.column(2), strict=True):
-                starts = np.frombuffer(b"".join(places.as_py() or []), np.uint32)
+                starts = np.frombuffer(places.as_py() or b"", np.uint32)
                 got.append(without(text.as_py(), np.unique(starts), n))
                 if as_is and not got[-1][1]:
                     got[-1] = (*got[-1][:2], text.as_py())
