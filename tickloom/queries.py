@@ -117,16 +117,16 @@ def q5_assign_run(spark, d):
     return C.assign_run(ev.withColumn("tick", F.col("tick") + HOUR), bounds).select("session", "ord", "run_id")
 
 
-@query(CLICKS + f" SELECT c.session, c.ord, CASE WHEN c.ts - v.ts <= {24 * HOUR} THEN v.ord END AS m_ord FROM cl c ASOF LEFT JOIN vi v ON c.session = v.session AND c.ts >= v.ts")
+@query(CLICKS + f" SELECT c.session, c.ord, coalesce(CASE WHEN c.ts - v.ts <= {24 * HOUR} THEN v.ord END, -1) AS m_ord FROM cl c ASOF LEFT JOIN vi v ON c.session = v.session AND c.ts >= v.ts")
 def q6_asof_causal(spark, d):
     left, right = clicks_views(spark, d)
-    return A.asof(left, right, ["session"], [], 24 * HOUR).select("session", "ord", F.col("m.ord").alias("m_ord"))
+    return A.asof(left, right, ["session"], [], 24 * HOUR).select("session", "ord", A.none_as(F.col("m.ord")).alias("m_ord"))
 
 
-@query(CLICKS + f" SELECT c.session, c.ord, CASE WHEN v.ts - c.ts <= {24 * HOUR} THEN v.ord END AS m_ord FROM cl c ASOF LEFT JOIN vi v ON c.session = v.session AND c.ts <= v.ts")
+@query(CLICKS + f" SELECT c.session, c.ord, coalesce(CASE WHEN v.ts - c.ts <= {24 * HOUR} THEN v.ord END, -1) AS m_ord FROM cl c ASOF LEFT JOIN vi v ON c.session = v.session AND c.ts <= v.ts")
 def q7_asof_forward(spark, d):
     left, right = clicks_views(spark, d)
-    return A.asof(left, right, ["session"], [], 24 * HOUR, "forward").select("session", "ord", F.col("m.ord").alias("m_ord"))
+    return A.asof(left, right, ["session"], [], 24 * HOUR, "forward").select("session", "ord", A.none_as(F.col("m.ord")).alias("m_ord"))
 
 
 @query(LABELS + " SELECT session, ord, coalesce(vetoed, false) AS vetoed FROM ru LEFT JOIN vx USING (session, ord)")
@@ -137,10 +137,10 @@ def q8_nearest_veto(spark, d):
     return C.vetoed(ev, executed, HOUR).select("session", "ord", "vetoed")
 
 
-@query(EV + " SELECT e.session, e.ord, x.ord AS m_ord FROM ev e LEFT JOIN (SELECT * FROM ev WHERE ord % 3 = 0) x ON x.session = e.session AND x.tick = e.tick")
+@query(EV + " SELECT e.session, e.ord, coalesce(x.ord, -1) AS m_ord FROM ev e LEFT JOIN (SELECT * FROM ev WHERE ord % 3 = 0) x ON x.session = e.session AND x.tick = e.tick")
 def q9_exact(spark, d):
     ev = events(spark, d).withColumnRenamed("tick", "ts").select("session", "ord", "ts")
-    return A.exact(ev, ev.where("ord % 3 = 0"), ["session"], []).select("session", "ord", F.col("m.ord").alias("m_ord"))
+    return A.exact(ev, ev.where("ord % 3 = 0"), ["session"], []).select("session", "ord", A.none_as(F.col("m.ord")).alias("m_ord"))
 
 
 @query(EV + ", f AS (SELECT session, tick + 3000 AS ts FROM ev WHERE ord % 5 <> 0), q AS (SELECT e.session, f.ts - e.tick AS d FROM ev e ASOF JOIN f ON e.session = f.session AND e.tick <= f.ts) SELECT s.session, nullif(m, 0) AS offset_us FROM (SELECT DISTINCT session FROM q WHERE abs(d) <= 50000) s JOIN (SELECT session, mode(d ORDER BY d) AS m FROM q WHERE abs(d) <= 50000 GROUP BY session) USING (session)")
@@ -153,21 +153,21 @@ _SHIFT = "CASE WHEN session % 3 = 0 THEN 0 WHEN session % 3 = 1 THEN 3000 ELSE 0
 
 
 @query(EV + f""", f AS (SELECT session, ord, tick + {_SHIFT} AS ts FROM ev WHERE session % 3 <> 2 OR ord % 2 = 0)
-SELECT e.session, e.tick AS capture_us, CASE WHEN e.session % 3 = 2 THEN CASE WHEN e.tick - a.ts <= {24 * HOUR} THEN a.ord END ELSE e.ord END AS frame_ord,
+SELECT e.session, e.tick AS capture_us, coalesce(CASE WHEN e.session % 3 = 2 THEN CASE WHEN e.tick - a.ts <= {24 * HOUR} THEN a.ord END ELSE e.ord END, -1) AS frame_ord,
   CASE e.session % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'constant_offset' ELSE 'approximate' END AS strategy
 FROM ev e ASOF LEFT JOIN f a ON e.session = a.session AND e.tick >= a.ts""")
 def q11_cascade(spark, d):
     ev = events(spark, d).select("session", "ord", F.col("tick").alias("ts"))
     frames = ev.where("session % 3 <> 2 OR ord % 2 = 0").withColumn("ts", F.col("ts") + F.expr(_SHIFT))
     out = A.resolve_frames(ev.withColumnRenamed("ts", "capture_us"), frames, ["session"], 24 * HOUR)
-    return out.select("session", "capture_us", "frame_ord", "strategy")
+    return out.select("session", "capture_us", A.none_as(F.col("frame_ord")).alias("frame_ord"), "strategy")
 
 
-@query(EV + f", f AS (SELECT session, ord, tick AS ts, CASE WHEN ord % 4 = 0 THEN -1 ELSE cycle_id END AS seq FROM ev WHERE ord % 2 = 0), k AS (SELECT session, seq, max(ord) AS o FROM f WHERE seq >= 0 GROUP BY ALL) SELECT e.session, e.ord, coalesce(k.o, CASE WHEN e.tick - a.ts <= {24 * HOUR} THEN a.ord END) AS m_ord FROM ev e ASOF LEFT JOIN f a ON e.session = a.session AND e.tick >= a.ts LEFT JOIN k ON k.session = e.session AND k.seq = e.cycle_id")
+@query(EV + f", f AS (SELECT session, ord, tick AS ts, CASE WHEN ord % 4 = 0 THEN -1 ELSE cycle_id END AS seq FROM ev WHERE ord % 2 = 0), k AS (SELECT session, seq, max(ord) AS o FROM f WHERE seq >= 0 GROUP BY ALL) SELECT e.session, e.ord, coalesce(k.o, CASE WHEN e.tick - a.ts <= {24 * HOUR} THEN a.ord END, -1) AS m_ord FROM ev e ASOF LEFT JOIN f a ON e.session = a.session AND e.tick >= a.ts LEFT JOIN k ON k.session = e.session AND k.seq = e.cycle_id")
 def q12_key_then_asof(spark, d):
     ev = events(spark, d).select("session", "ord", F.col("tick").alias("ts"), F.col("cycle_id").alias("seq"))
     right = ev.where("ord % 2 = 0").withColumn("seq", F.when(F.col("ord") % 4 == 0, F.lit(-1).cast("long")).otherwise(F.col("seq")))
-    return A.key_then_asof(ev, right, ["session"], "seq", [], 24 * HOUR).select("session", "ord", F.col("m.ord").alias("m_ord"))
+    return A.key_then_asof(ev, right, ["session"], "seq", [], 24 * HOUR).select("session", "ord", A.none_as(F.col("m.ord")).alias("m_ord"))
 
 
 @query(PAIRS + " SELECT session, run_id, cycle_i, cycle_j, tick_i, tick_j FROM pa")
