@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import held_out
-from .shared import prepare
+from .shared import prepare, shared_folder
 
 DIM, GRAM, SEED = 512, 3, 20_011
 #: Training texts for each language at most, chosen by a hash of their id.
 TRAIN_TEXTS = 2_000
+#: Languages whose counts are broadcast at most.
+MOST_BROADCAST = 10_000
 #: Characters bundled at once.
 SLICE = 400_000
 _letters: np.ndarray | None = None
@@ -100,10 +102,13 @@ def text_vectors(texts: list[str | None]) -> np.ndarray:
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = TRAIN_TEXTS) -> dict[str, np.ndarray]:
     """A unit prototype for each language of the rows that are not held out, from at most about ``texts`` texts each."""
     prepare(docs.sparkSession)
+    shared_folder(docs.sparkSession)
     train = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")).where("_lang IS NOT NULL").where(~held_out("_id", 4, 2))
     counts = train.groupBy("_lang").agg(F.count("*").alias("c"))
     share = F.ceil(F.lit(texts) / F.col("c") * 1_000_003)
-    chosen = train.join(counts.withColumn("share", share).drop("c"), "_lang").where(F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) < F.col("share")).select("_lang", "_text")
+    counts = counts.withColumn("share", share).drop("c").checkpoint()
+    few = counts.count() <= MOST_BROADCAST  # else the texts are shuffled
+    chosen = train.join(F.broadcast(counts) if few else counts, "_lang").where(F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) < F.col("share")).select("_lang", "_text")
 
     def bundled(batches):
         sums: dict[str, np.ndarray] = {}
