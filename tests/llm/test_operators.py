@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tickloom.llm import jaccard, licenses, neighbours, pieces, quality, rans
+from tickloom.llm import components, jaccard, licenses, neighbours, pieces, quality, rans
 from tickloom.llm.fingerprints import edited_fingerprints
 from tickloom.llm.language import fit_languages, identify_languages
 from tickloom.llm.mixing import mix_sources
@@ -208,3 +208,14 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id or 9, r.n_removed) for r in dedup_substrings(df).collect()) == [(1, 0), (1, 0), (9, 0), (9, 14)]
     assert edited_fingerprints(df).count() == 4 and sum(r.taken for r in mix_sources(df).collect()) == 63
     assert defaultdict(int, Counter(r.n_pieces > 0 for r in pieces.encode_pieces(df, vocabulary("piece_bpe_32k.model")).collect()))[True] == 3
+
+
+@pytest.mark.parametrize("bound", [components.CONTRACTED, 3])
+def test_components_in_one_task_and_by_rounds(spark, monkeypatch, bound):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(200 + i, 201 + i) for i in range(20)]
+    want = roots({x for e in edges for x in e}, edges)
+    monkeypatch.setattr(components, "CONTRACTED", bound)
+    frame = spark.createDataFrame([*edges, edges[0], (7, 7), (300, None)], "u long, v long")
+    got = components.components(frame.repartition(3)).collect()
+    assert Counter((r.node, r.root) for r in got) == Counter((n, r) for n, r in want.items() if n != r)
