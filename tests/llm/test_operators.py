@@ -14,7 +14,7 @@ from tickloom.llm.language import fit_languages, identify_languages
 from tickloom.llm.mixing import mix_sources
 from tickloom.llm.queries import vocabulary
 from tickloom.llm.substrings import dedup_substrings
-from tickloom.llm.token_files import new_path, read_tokens, write_tokens
+from tickloom.llm.token_files import UnitEncoder, new_path, read_tokens, write_tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string"
 
@@ -109,6 +109,17 @@ def test_mixing(docs):
     assert sorted(got) == sorted(mix_sources(docs.repartition(7)).collect())
 
 
+def test_units_of_text_give_the_ids_of_the_library():
+    path = vocabulary("byte_bpe_50k.json")
+    encoder, rng = UnitEncoder(path), random.Random(7)
+    texts = ["a\n\n\nb\tc\td", "col1\tcol2 ", "a b\tc", "a\t b", "a \tb", "\ta b", "a b\t", "a\tb\n\nc", "a  b\u3000c", "a\r\nb\n\nc", "a\u00a0b  c", "\n", " ", "a\n", "\na", "a \nb", "a\n b", "a\x1cb  c", "a b\nc"]
+    texts += ["".join(rng.choice(["a", "b's", "1", "é", "<|endoftext|>", *" \n \n\t\r\x0b\x1c\x85\u00a0\u2028\u3000\u200b"]) for _ in range(rng.randrange(1, 12))) for _ in range(4000)]
+    want = [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):  # the second time from what is remembered
+        assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == want
+    assert not any(c.isspace() for unit in encoder.known for c in unit[1:])
+
+
 def test_tokens_round_trip(spark, docs):
     from tokenizers import Tokenizer
 

@@ -34,7 +34,7 @@ class UnitEncoder:
 
     The byte-level splitter never joins characters across white space but for one space before a word. So a text whose words
     are apart by exactly one space or line break is a sequence of independent units: its first word, each `` word``, each
-    ``\\nword``. Other texts go to the library whole.
+    ``\\nword``. All other texts (other or repeated white space, or some at an end) go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -69,10 +69,10 @@ class UnitEncoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            units = text.replace("\n", " \n").split(" ")
-            if len(units) != len(text.split()) or units[0][:1] == "\n" or units[-1] == "\n":
+            if " ".join(text.split()) != text.replace("\n", " "):  # a text of single spaces and line breaks between words stays the same
                 whole.append(k)
                 continue
+            units = text.replace("\n", " \n").split(" ")
             units[0] = " " + units[0]  # no other unit holds a space
             got = list(map(get, units))
             if None in got:
