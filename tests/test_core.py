@@ -9,6 +9,7 @@ from tickloom.functions import scalars as S
 from tickloom.operators import asof as A
 from tickloom.operators import cycles as C
 from tickloom.operators import frames as R
+from tickloom.operators import latents as L
 from tickloom.sources import topics
 
 
@@ -106,6 +107,27 @@ def test_decoding_once_with_a_torn_packet(spark):
     assert [(r.frame_index, bytes(r.pixels)) for r in out] == [(0, b"aa")]
 
 
+def test_covariance_of_every_pair_of_dimensions(spark):
+    import __spark_entry__ as e
+
+    d = "/root/testdata/sf0.001"
+    v = np.array([r.embedding for r in spark.read.parquet(f"{d}/embeddings.parquet").select("embedding").collect()], np.float64)
+    got = {(r.i, r.j): r.cov for r in e.queries()["q36_latent_cov_whole"](spark, d).collect()}
+    want = np.cov(v.T)
+    assert len(got) == 64 * 63 // 2 and all(abs(want[k] - x) < 1e-5 for k, x in got.items())
+
+
+def test_covariance_with_gaps_and_far_means(spark):
+    rng = random.Random(2)
+    rows = [[None if rng.random() < 0.2 else 1e7 + k * rng.random() for k in range(1, 5)][: rng.choice([2, 4])] for _ in range(90)]
+    df = spark.createDataFrame([(r,) for r in [*rows, None]], "v array<double>").repartition(5)
+    got = {(r.i, r.j): r["cov"] for r in L.latent_cov(df, "v", 1, 4).collect()}
+    assert set(got) == {(1, 2), (1, 3), (2, 3)}
+    for (i, j), x in got.items():
+        both = [(r[i], r[j]) for r in rows if len(r) > j and r[i] is not None and r[j] is not None]
+        assert x == pytest.approx(np.cov(np.array(both).T)[0, 1], rel=1e-6)
+
+
 def test_topics(spark, tmp_path):
     d = tmp_path / "s1/data/navigation/planning_cycle"
     d.mkdir(parents=True)

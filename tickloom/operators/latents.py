@@ -14,11 +14,12 @@ def latent_std(df: DataFrame, column: str) -> DataFrame:
 
 
 def latent_cov(df: DataFrame, column: str, start: int, stop: int) -> DataFrame:
-    """Unbiased covariance of each two dimensions i < j of a block; one aggregation, no join."""
-    pairs = [(i, j) for i in range(start, stop) for j in range(i + 1, stop)]
-    at = lambda k: F.get(F.col(column), F.lit(k)).cast("double")
-    row = df.agg(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), F.covar_samp(at(i), at(j)).alias("cov")) for i, j in pairs]).alias("c"))
-    return row.select(F.explode("c").alias("c")).select("c.*")
+    """Unbiased covariance of each two dimensions i < j of a block, over the rows that have both; one aggregation by i, no join."""
+    at = lambda k: F.get("_a", k).cast("double")
+    dims = range(start + 1, stop)
+    rows = df.select(F.explode(F.sequence(F.lit(start), F.lit(stop - 2))).alias("i"), F.col(column).alias("_a"))
+    per = rows.withColumn("_v", at(F.col("i"))).groupBy("i").agg(F.array(*[F.struct(F.lit(j).cast("long").alias("j"), F.covar_samp("_v", at(F.lit(j))).alias("cov")) for j in dims]).alias("c"))
+    return per.select(F.col("i").cast("long").alias("i"), F.explode("c").alias("c")).where("c.j > i").select("i", "c.*")
 
 
 def smooth_l1(df: DataFrame, a: str, b: str) -> DataFrame:

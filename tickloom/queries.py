@@ -271,6 +271,11 @@ def q28_latent_cov(spark, d):
     return L.latent_cov(table(spark, d, "embeddings"), "embedding", 0, 8).select("i", "j", (F.round("cov", 5) + 0.0).alias("cov"))
 
 
+@query("WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(1, 65)) AS dim FROM embeddings) SELECT a.dim - 1 AS i, b.dim - 1 AS j, round(covar_samp(a.v, b.v), 5) + 0.0 AS cov FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.dim < b.dim GROUP BY ALL")
+def q36_latent_cov_whole(spark, d):
+    return L.latent_cov(table(spark, d, "embeddings"), "embedding", 0, 64).select("i", "j", (F.round("cov", 5) + 0.0).alias("cov"))
+
+
 @query("SELECT round(avg(CASE WHEN abs(x - y) < 1 THEN 0.5 * (x - y) * (x - y) ELSE abs(x - y) - 0.5 END), 5) AS loss FROM (SELECT unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)")
 def q29_smooth_l1(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
