@@ -10,6 +10,7 @@ from tickloom.operators import asof as A
 from tickloom.operators import cycles as C
 from tickloom.operators import frames as R
 from tickloom.operators import latents as L
+from tickloom.plans import store as P
 from tickloom.sources import topics
 
 
@@ -148,3 +149,35 @@ def test_entry_without_the_subpackage():
     import __spark_entry__ as e
 
     assert "q1_cycle_table" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_store_keeps_missing_frames_out_of_pairs(spark, tmp_path):
+    cyc = [(s, 0, k, k * 100_000, None if k < 12 else "no_command") for s in ("a", "b") for k in range(13)]
+    labelled = spark.createDataFrame(cyc, "session string, run_id long, cycle_id long, tick long, drop_reason string")
+    rows = [(s, r, k, k, k != 5 or r != "rgb_front", k * 100_000) for s, _, k, _, _ in cyc for r in ("rgb_front", "lidar_back_left_back")]
+    roles = spark.createDataFrame([(s, 0, k, r, q, p, t if p else -1) for s, r, k, q, p, t in rows], "session string, run_id long, cycle_id long, role string, seq long, present boolean, capture_us long")
+    frames = spark.createDataFrame([(s, k * 100_000, k, not (s == "b" and k == 7)) for s in "ab" for k in range(12)], "session string, ts long, ord long, decoded boolean")
+    scans = spark.createDataFrame([(s, k * 100_000, k, k) for s in "ab" for k in range(12) if not (s == "a" and k == 9)], "session string, ts long, seq long, ord long")
+    store = f"file://{tmp_path}/store"
+    P.preprocess(labelled, store, roles, {"rgb_front": frames}, {"lidar_back_left_back": scans})
+    got = {(r.session, r.cycle_i) for r in P.training_set(spark, store).collect()}
+    gone = {"a": {5, 9}, "b": {5, 7}}
+    assert got == {(s, i) for s in "ab" for i in range(10) if not {i, i + 2} & gone[s]}
+    assert {r.split for r in P.training_set(spark, store).collect()} == {"train", "val"}
+    assert {(r.session, r.cycle_i) for r in P.training_set(spark, store, cameras=[]).collect()} == {(s, i) for s in "ab" for i in range(10) if not (s == "a" and {i, i + 2} & {9})}
+    assert P.training_set(spark, store, cameras=["rgb_back"]).count() == 0
+    index = {(r.session, r.cycle_id): r.position for r in P.read_table(spark, store, "index").collect()}
+    assert [index["b", k] for k in range(12)] == [0, 1, 2, 3, 4, -1, 5, -1, 6, 7, 8, 9]
+    m = {r.session: r for r in P.read_table(spark, store, "manifest").collect()}
+    assert m["a"].n_cycles == 12 and m["a"].dropped == {**dict.fromkeys(C.REASONS, 0), "no_command": 1} and m["b"].lidar_valid_rate == 1.0
+    assert m["a"].lidar_match_rate["lidar_back_left_back"] == pytest.approx(11 / 12) and m["a"].lidar_roles_configured == ["lidar_back_left_back"]
+    assert m["b"].rgb_join_strategy == {"rgb_front": "exact"} and m["b"].rgb_match_rate == {"rgb_front": 1.0} and m["b"].rgb_decode_rate["rgb_front"] == pytest.approx(10 / 11)
+    assert m["a"].rgb_size == [253, 190] and m["a"].depth_cameras == [] and m["a"].depth_match_rate == {} and len(m["a"]) == 22
+
+
+def test_store_without_lidar_gives_no_pairs(spark, tmp_path):
+    labelled = spark.createDataFrame([("a", 0, k, k * 100_000, None) for k in range(6)], "session string, run_id long, cycle_id long, tick long, drop_reason string")
+    P.preprocess(labelled, f"file://{tmp_path}/s")
+    assert P.training_set(spark, f"file://{tmp_path}/s").count() == 0
+    with pytest.raises(ValueError):
+        P.preprocess(labelled, f"file://{tmp_path}/s", lidar={"lidar_back_left_back": labelled})
