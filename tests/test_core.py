@@ -129,6 +129,23 @@ def test_covariance_with_gaps_and_far_means(spark):
         assert x == pytest.approx(np.cov(np.array(both).T)[0, 1], rel=1e-6)
 
 
+def test_loss_report_from_end_to_end(spark):
+    data = {"a": [(10, b"aa"), (11, b"bb"), (14, b"x!"), (15, b"y!")], "b": [(1, b"cc"), (2, b"d!")], "c": [(1, b"ee"), (2, b"ff")], "no file": [(1, b"gg")]}
+    frames = spark.createDataFrame([(g, k, k, q, len(x), True) for g, rows in data.items() for k, (q, x) in enumerate(rows)], "bin_path string, frame_index long, ord long, seq long, length long, wanted boolean")
+    groups = spark.createDataFrame([(g, bytearray(b"".join(x for _, x in data[g])[: 3 if g == "c" else None])) for g in "abc"], "bin_path string, content binary")
+    by = ["bin_path"]
+    sizes = groups.select("bin_path", F.length("content").cast("long").alias("size"))
+    frames = frames.join(groups.select("bin_path"), by)
+    decoded = R.decode_groups(groups, frames, by, lambda blobs, _: [None if x.endswith(b"!") or len(x) < 2 else np.frombuffer(x, np.uint8) for x in blobs], stop_at_torn=False)
+    bad = R.undecodable_packets(frames, decoded, by)
+    report = R.group_report(frames, by, sizes, bad)
+    got = {r.bin_path: (r.declared, r.bytes, r.bytes_actual, r.gaps, r.lost, r.truncated, r.undecodable) for r in report.collect()}
+    assert got == {"a": (4, 8, 8, 1, 2, False, 2), "b": (2, 4, 4, 0, 0, False, 1), "c": (2, 4, 3, 0, 0, True, 1)}
+    total = R.fleet_summary(report).first()
+    assert (total.groups, total.with_gaps, total["lost"], total.truncated) == (3, 1, 2, 1) and total.net_percent == pytest.approx(60.0)
+    assert sorted((r.bin_path, r.seq) for r in R.cascade(bad, report, by).collect()) == [("a", 14), ("a", 15)]
+
+
 def test_topics(spark, tmp_path):
     d = tmp_path / "s1/data/navigation/planning_cycle"
     d.mkdir(parents=True)

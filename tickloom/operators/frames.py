@@ -29,15 +29,29 @@ def sidecar_frames(meta: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, "width", "height", "codec", "extradata", "quantisation", F.col("pos").cast("long").alias("frame_index"), F.col("col.timestamp_us").alias("ts"), F.coalesce("col.seq", F.lit(-1).cast("long")).alias("seq"), F.col("col.length").alias("length"))
 
 
-def group_report(frames: DataFrame, by: list[str]) -> DataFrame:
-    """For each group: packets declared, their bytes, gaps in seq, frames lost in them, and the number before the first gap."""
+def group_report(frames: DataFrame, by: list[str], sizes: DataFrame | None = None, undecodable: DataFrame | None = None) -> DataFrame:
+    """For each group: packets declared, their bytes, gaps in seq, frames lost in them, and the first number after a gap.
+
+    sizes (by, size: bytes of the file) adds ``bytes_actual`` and ``truncated`` (the file has other bytes than declared); groups without
+    a file are left out. undecodable (by, ...: a row for each packet, see undecodable_packets) adds their number.
+    """
     w = Window.partitionBy(*by).orderBy("ord")
     gap = F.col("seq") - F.lag("seq").over(w)
     rows = frames.withColumn("_gap", gap).withColumn("_lost", F.when(F.col("_gap") > 1, F.col("_gap") - 1).otherwise(0))
-    return rows.groupBy(*by).agg(
+    out = rows.groupBy(*by).agg(
         F.count("*").alias("declared"), F.sum("length").alias("bytes"), F.sum((F.col("_lost") > 0).cast("long")).alias("gaps"), F.sum("_lost").cast("long").alias("lost"),
         F.min(F.when(F.col("_lost") > 0, F.col("seq"))).alias("first_gap"),
     )
+    if sizes is not None:
+        out = out.join(sizes.select(*by, F.col("size").alias("bytes_actual")), by).withColumn("truncated", F.col("bytes") != F.col("bytes_actual"))
+    if undecodable is not None:
+        out = out.join(undecodable.groupBy(*by).agg(F.count("*").alias("undecodable")), by, "left").fillna(0, ["undecodable"])
+    return out
+
+
+def undecodable_packets(frames: DataFrame, decoded: DataFrame, by: list[str]) -> DataFrame:
+    """The packets of which decode_groups, with all of them wanted, gave no image."""
+    return frames.join(decoded.select(*by, "frame_index").distinct(), [*by, "frame_index"], "left_anti")
 
 
 def fleet_summary(report: DataFrame) -> DataFrame:
