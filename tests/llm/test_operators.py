@@ -170,6 +170,22 @@ def test_vectors(spark):
     assert all(got[k].n_links == 0 and got[k].kept for k in range(300, 305))
 
 
+def test_licenses_of_any_length_and_part(spark):
+    rng = random.Random(4)
+    long, middle = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("n", 200), ("m", 50)))
+    own = [("long", long), ("middle", middle), *licenses.TEMPLATES]
+    fill = lambda n: " ".join(rng.choice("pqrs") for _ in range(n))
+    parts = [(label, text) for label, text in own for _ in range(5)]
+    rows = [(k, f"{fill(rng.randrange(400))} {text} {fill(rng.randrange(400))}") for k, (_, text) in enumerate(parts)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates=own, phrases={}).collect()}
+    assert all(label in got[k].labels.split(",") and got[k].score == 1.0 for k, (label, _) in enumerate(parts))
+    assert all(len(licenses.words_of(t)) <= licenses.STRIDE + 1 for _, t in licenses.TEMPLATES)
+    # sentences that only one license has; those of others do not answer to them
+    only = {"bsd": "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed", "mit": "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software"}
+    df = spark.createDataFrame(list(enumerate(only.values())), "doc_id long, text string")
+    assert [r.labels for r in licenses.scan_licenses(df).orderBy("doc_id").collect()] == list(only)
+
+
 def test_licenses(docs, spark):
     index = licenses.TemplateIndex(licenses.TEMPLATES, {b"the": 9, b"license": 5}, 0.85)
     rng = random.Random(1)

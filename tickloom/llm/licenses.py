@@ -1,7 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is ``BLOCK`` words, a new one every ``STRIDE``, so that whatever is up to STRIDE + 1 words long lies inside one. A
-template T is found in a block B if |B & T| >= threshold * |T| over distinct words. Words are ordered by how many
+A block is ``BLOCK`` words, a new one every ``STRIDE``, so that whatever is up to STRIDE + 1 words long lies inside one. Longer
+templates have blocks of their own, as far apart as they are long less a word, and twice that wide. A template T is found in a block B if |B & T| >= threshold * |T| over distinct words. Words are ordered by how many
 documents hold them; a block that reaches the overlap o must hold one of T's first |T| - o + 1 words in that order (prefix
 filter), have o distinct words (length filter), and after T's i-th word enough words must be left (positional filter).
 Templates are few and fixed, so their index is sent to every task and documents never move.
@@ -24,7 +24,7 @@ BLOCK, STRIDE, THRESHOLD = 64, 32, 0.85
 #: Phrases that count wherever their words stand consecutively.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Openings of well-known public license notices.
+#: Openings, conditions and disclaimers of well-known public license notices.
 TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
@@ -35,6 +35,13 @@ TEMPLATES = (
     ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mit", "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd", "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness"),
+    ("mpl", "Covered Software is provided under this License on an as is basis, without warranty of any kind, either expressed, implied, or statutory"),
+    ("isc", "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
@@ -70,28 +77,38 @@ class TemplateIndex:
         self.threshold = threshold
         self.sets = [(label, sorted(set(words_of(text)), key=lambda w: (counts.get(w, 0), w))) for label, text in templates]
         self.need = [ceil(threshold * len(t) - 1e-9) for _, t in self.sets]
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        for k, (_, t) in enumerate(self.sets):
+        #: Postings by the stride of their templates' blocks.
+        self.postings: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+        for k, ((_, t), (_, text)) in enumerate(zip(self.sets, templates, strict=True)):
+            mine = self.postings.setdefault(max(STRIDE, len(words_of(text)) - 1), {})
             for i, w in enumerate(t[: len(t) - self.need[k] + 1]):
-                self.postings.setdefault(w, []).append((k, i))
+                mine.setdefault(w, []).append((k, i))
         self.whole = [frozenset(t) for _, t in self.sets]
-        self.prefixes = frozenset(self.postings)
+        self.prefixes = {stride: frozenset(mine) for stride, mine in self.postings.items()}
 
     def find(self, words: list[bytes]) -> list[tuple[int, str, float]]:
         """Every (start of block, label, containment) at or above the threshold, for all templates."""
-        hot = self.prefixes.intersection(words)
+        out = []
+        for stride in sorted(self.postings):
+            out += self._find(words, stride, BLOCK if stride == STRIDE else 2 * stride)
+        return sorted(out, key=lambda b: b[0]) if len(self.postings) > 1 else out
+
+    def _find(self, words: list[bytes], stride: int, width: int) -> list[tuple[int, str, float]]:
+        """The finds of templates whose blocks are ``stride`` words apart."""
+        postings = self.postings[stride]
+        hot = self.prefixes[stride].intersection(words)
         if not hot:
             return []
         starts = set()
         for i, w in enumerate(words):
             if w in hot:
-                starts.update(range(max(0, (i - BLOCK) // STRIDE + 1) * STRIDE, i + 1, STRIDE))
+                starts.update(range(max(0, (i - width) // stride + 1) * stride, i + 1, stride))
         out = []
         for s in sorted(starts):
-            block = frozenset(words[s : s + BLOCK])
+            block = frozenset(words[s : s + width])
             seen = set()
             for w in block & hot:
-                for k, i in self.postings[w]:
+                for k, i in postings[w]:
                     if k in seen or len(block) < self.need[k]:
                         continue
                     if len(self.sets[k][1]) - i < self.need[k]:
