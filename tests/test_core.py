@@ -146,6 +146,23 @@ def test_loss_report_from_end_to_end(spark):
     assert sorted((r.bin_path, r.seq) for r in R.cascade(bad, report, by).collect()) == [("a", 14), ("a", 15)]
 
 
+def test_only_the_tail_of_a_torn_file_is_left_out(spark):
+    import __spark_entry__ as e
+
+    d = "/root/testdata/sf0.001"
+    want, groups = {}, {}
+    for r in sorted(spark.read.parquet(f"{d}/documents.parquet").select("source", "doc_id", "n_chars").collect(), key=lambda r: r.doc_id):
+        groups.setdefault(r.source, []).append((r.doc_id, r.n_chars))
+    for rows in groups.values():
+        at = 0
+        for i, n in rows:
+            if at + n < sum(x for _, x in rows):
+                want[i] = at
+            at += n
+    got = {r.doc_id: r.offset for r in e.queries()["q37_packet_offsets_torn"](spark, d).collect()}
+    assert got == want and len(got) >= sum(len(rows) - 1 for rows in groups.values()) - 1
+
+
 def test_topics(spark, tmp_path):
     d = tmp_path / "s1/data/navigation/planning_cycle"
     d.mkdir(parents=True)

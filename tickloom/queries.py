@@ -248,6 +248,13 @@ def q24_packet_offsets(spark, d):
     return C.packet_offsets(docs, ["source"], "n_chars", "size", "doc_id").select("doc_id", "offset")
 
 
+@query('SELECT doc_id, "offset" FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source) AS total, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM documents) WHERE "offset" + n_chars < total')
+def q37_packet_offsets_torn(spark, d):
+    size = F.sum("n_chars").over(Window.partitionBy("source")) - 1
+    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars", size.alias("size"))
+    return C.packet_offsets(docs, ["source"], "n_chars", "size", "doc_id").select("doc_id", "offset")
+
+
 @query(EV + " SELECT session, ord, CASE WHEN ord % 3 = 0 THEN -1 ELSE row_number() OVER (PARTITION BY session, ord % 3 = 0 ORDER BY ord) - 1 END AS position FROM ev")
 def q25_compaction(spark, d):
     return C.compacted(events(spark, d), ["session"], F.col("ord") % 3 != 0, "ord").select("session", "ord", "position")
