@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tickloom.llm import components, jaccard, licenses, neighbours, pieces, quality, rans
@@ -114,10 +115,21 @@ def test_units_of_text_give_the_ids_of_the_library():
     encoder, rng = UnitEncoder(path), random.Random(7)
     texts = ["a\n\n\nb\tc\td", "col1\tcol2 ", "a b\tc", "a\t b", "a \tb", "\ta b", "a b\t", "a\tb\n\nc", "a  b\u3000c", "a\r\nb\n\nc", "a\u00a0b  c", "\n", " ", "a\n", "\na", "a \nb", "a\n b", "a\x1cb  c", "a b\nc"]
     texts += ["".join(rng.choice(["a", "b's", "1", "é", "<|endoftext|>", *" \n \n\t\r\x0b\x1c\x85\u00a0\u2028\u3000\u200b"]) for _ in range(rng.randrange(1, 12))) for _ in range(4000)]
-    want = [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
-    for _ in range(2):  # the second time from what is remembered
-        assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == want
+    texts += [" ".join(rng.choice(["Größe,", "x.", "naïve!!", "don't.", "3,", "½.", "…", "«oui».", "日本.", "a\u0378.", ".,", "'s,", "<|endoftext|>."]) for _ in range(rng.randrange(1, 9))) for _ in range(2000)]
+    texts += [None, ""]
+    want = [e.ids for e in encoder.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+    def check(order, end=None):
+        ids, n = encoder.encode(pa.array([texts[k] for k in order]), end)
+        got = np.split(ids, np.cumsum(n)[:-1])
+        assert [x.tolist() for x in got] == [[*want[k], *([] if end is None else [end])] for k in order]
+
+    check(range(len(texts)))
+    check(rng.sample(range(len(texts)), len(texts)), 0)  # again, from what is remembered, in another order
+    for k in (0, 1, len(texts) - 1):
+        check([k], 0)
     assert not any(c.isspace() for unit in encoder.known for c in unit[1:])
+    assert len(encoder.encode(pa.array([], pa.string()))[1]) == 0
 
 
 def test_tokens_round_trip(spark, docs):

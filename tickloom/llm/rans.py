@@ -18,7 +18,7 @@ import numpy as np
 U = np.uint64
 LANES, PRECISION = 2048, 18
 #: Ids in a block, and ids from one checkpoint to the next (a multiple of LANES).
-BLOCK, CHECKPOINT = 1 << 20, 1 << 19
+BLOCK, CHECKPOINT = 1 << 20, 1 << 18
 _LOW = U(1 << 31)
 _HEAD = struct.Struct("<4sIIIII")
 
@@ -90,26 +90,37 @@ def encode(ids: np.ndarray, coder: tuple[np.ndarray, np.ndarray]) -> bytes:
 
 
 def decode(block: bytes, slots: tuple[np.ndarray, np.ndarray, np.ndarray], first: int = 0) -> np.ndarray:
-    """The ids of a block from its checkpoint number ``first`` on. Raises ValueError if the block is damaged."""
+    """The ids of a block from its checkpoint number ``first`` on. Raises ValueError if the block is damaged.
+
+    What lies between one checkpoint and the next is decoded at the same time, each stretch with lanes of its own.
+    """
     magic, n, lanes, points, n_words, crc = _HEAD.unpack_from(block)
     body = memoryview(block)[_HEAD.size :]
     if magic != b"TKR1" or zlib.crc32(body) != crc:
         raise ValueError("damaged block")
     size = 8 + 8 * lanes
-    at, word = struct.unpack_from("<II", body, first * size)
-    x = np.frombuffer(body, U, lanes, first * size + 8).copy()
+    marks = [struct.unpack_from("<II", body, k * size) for k in range(first, points)]
+    at, word = (np.array(x, np.int64) for x in zip(*marks, strict=True))
+    x = np.stack([np.frombuffer(body, U, lanes, k * size + 8) for k in range(first, points)])
     words = np.frombuffer(body, np.uint32, n_words, points * size).astype(U)
     symbol, freq, offset = slots
-    out = np.empty(n - at, np.uint32)
+    ends = np.r_[at[1:], n]
+    out = np.empty(n, np.uint32)
     mask = U((1 << PRECISION) - 1)
-    for a in range(at, n, lanes):
-        k = min(lanes, n - a)
-        y = x[:k]
+    for step in range(0, int((ends - at).max()), lanes):
+        on = np.flatnonzero(at + step < ends)  # of stretches, all but the last are as long as each other
+        y = x[on]
+        if on[-1] == len(at) - 1 and (k := int(ends[-1] - at[-1]) - step) < lanes:
+            y[-1, k:] = _LOW  # lanes beyond the block's end stand still
         slot = (y & mask).astype(np.int64)
-        out[a - at : a - at + k] = symbol[slot]
+        ids = symbol[slot]
         y = freq[slot] * (y >> U(PRECISION)) + offset[slot]
-        low = np.flatnonzero(y < _LOW)
-        y[low] = (y[low] << U(32)) | words[word : word + len(low)]
-        word += len(low)
-        x[:k] = y
-    return out
+        for r, s in enumerate(on.tolist()):
+            a = int(at[s]) + step
+            k = min(lanes, int(ends[s]) - a)
+            out[a : a + k] = ids[r, :k]
+            low = np.flatnonzero(y[r, :k] < _LOW)
+            y[r, low] = (y[r, low] << U(32)) | words[word[s] : word[s] + len(low)]
+            word[s] += len(low)
+        x[on] = y
+    return out[at[0] :]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
@@ -16,10 +20,12 @@ ROWS_PER_BATCH = 1024
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, else one of our own.
 
-    The fallback serves sessions on one machine, such as tests; a cluster names its folder.
+    Only a session on one machine, such as a test, may leave it out; on a cluster that raises ValueError.
     """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="tickloom-shared-")
         spark.conf.set("spark.checkpoint.dir", given)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -48,3 +54,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def n_partitions(spark: SparkSession) -> int:
     """Into how many parts keyed work is dealt; the session sizes this to its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: What a Python worker keeps from task to task: of one operator at a time.
+_kept: dict[tuple, object] = {}
+
+
+def worker(run: Callable, name: str | None = None, make: Callable | None = None, *how) -> Callable:
+    """``run`` for mapInArrow, given what ``make(*how)`` makes as a second argument, if ``make`` is given.
+
+    A worker makes it once, keeps it for its next tasks, and lets go of it when a task with another name comes. After a
+    task its freed memory goes back to the system, so that workers that wait don't hold it.
+    """
+    key = (name, *how)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name is not None and key not in _kept:
+            _kept.clear()
+            gc.collect()
+            if make is not None:
+                _kept[key] = make(*how)
+        yield from run(batches, _kept[key]) if make is not None else run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+    return task

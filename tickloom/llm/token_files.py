@@ -12,29 +12,64 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .shared import n_partitions, prepare, shared_folder
+from .shared import n_partitions, prepare, shared_folder, worker
+from .words import text_slices
 
 SEGMENT = 1 << 22
-#: Units of text whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Units of text whose ids a worker remembers (about 200 bytes each).
+REMEMBERED = 800_000
+#: Bytes of text that a task encodes at once.
+TOGETHER = 16 << 20
 END = 0
 
 
+#: Characters that, at the end of a unit and after a letter or digit, are tokens of their own.
+_TAIL = ".,;:!?$%*&#"
+#: Bytes of ASCII white space but for space and line break, and first bytes of characters that may be other white space.
+_ODD = np.zeros(256, bool)
+_ODD[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_GAP = np.zeros(256, bool)
+_GAP[[10, 32]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def single_spaced(texts: pa.Array) -> np.ndarray:
+    """Of each text (no nulls): whether it is not empty and all its white space is single spaces or line breaks between words."""
+    fine = np.zeros(len(texts), bool)
+    for i, j, buf, offs in text_slices(texts):
+        gap = _GAP[buf]
+        odd = _ODD[buf]
+        odd[1:] |= gap[1:] & gap[:-1]
+        starts, ends = offs[:-1], offs[1:]
+        some = ends > starts
+        n_odd = np.r_[0, np.cumsum(odd)]
+        ok = some.copy()
+        # the first byte of a row is odd only if it is so by itself, not by the row before
+        ok[some] &= ~gap[starts[some]] & ~gap[ends[some] - 1] & (n_odd[ends[some]] == n_odd[starts[some]])
+        for k in np.flatnonzero(some & ~ok).tolist():  # the bytes did not settle it
+            text = bytes(buf[offs[k] : offs[k + 1]]).decode()
+            ok[k] = " ".join(text.split()) == text.replace("\n", " ")
+        fine[i:j] = ok
+    return fine
+
+
 class UnitEncoder:
     """Encodes texts with the tokenizers library, unit by unit, remembering units.
 
     The byte-level splitter never joins characters across white space but for one space before a word. So a text whose words
     are apart by exactly one space or line break is a sequence of independent units: its first word, each `` word``, each
-    ``\\nword``. All other texts (other or repeated white space, or some at an end) go to the library whole.
+    ``\\nword``. Marks after a unit's last letter or digit are a unit of their own. All other texts (other or repeated
+    white space, or some at an end) go to the library whole. What is remembered never changes a result.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,45 +93,112 @@ class UnitEncoder:
             out += [data[a * size : b * size] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode_whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as bytes of ``dtype``; null and empty texts have none."""
-        out: list = [b""] * len(texts)
-        whole, parts, missing = [], [], {}
-        get = self.known.get
-        for k, text in enumerate(texts):
-            if not text:
-                continue
-            if " ".join(text.split()) != text.replace("\n", " "):  # a text of single spaces and line breaks between words stays the same
-                whole.append(k)
-                continue
-            units = text.replace("\n", " \n").split(" ")
-            units[0] = " " + units[0]  # no other unit holds a space
-            got = list(map(get, units))
-            if None in got:
-                missing.update((u, None) for u, g in zip(units, got, strict=True) if g is None)
-                parts.append((k, units))
-            else:
-                out[k] = b"".join(got)
+    def _remembered(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units, each beginning with a space or a line break."""
+        got = list(map(self.known.get, units))
+        missing = [k for k, g in enumerate(got) if g is None]
         if missing:
-            first = [u for u in missing if u[0] == " "]
-            later = [u for u in missing if u[0] != " "]
-            found = dict(zip(first, self._encode([u[1:] for u in first]), strict=True))
-            found.update(zip(later, self._encode_units([u if u[0] == "\n" else " " + u for u in later]), strict=True))
-            for k, units in parts:
-                out[k] = b"".join([get(u) or found[u] for u in units])
+            found = self._encode_units([units[k] for k in missing])
+            for k, ids in zip(missing, found, strict=True):
+                got[k] = ids
             if len(self.known) < REMEMBERED:
-                self.known.update(found)
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
-            out[k] = ids
-        return out
-
-
-@cache
-def _encoder(path: str) -> UnitEncoder:
-    return UnitEncoder(path)
+                self.known.update((units[k], got[k]) for k in missing)
+        return got
+
+    def _units(self, units: pa.Array, whole: list[bytes], end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct units as ``encode`` marks them, one after the other, and how many each has."""
+        cores = pc.utf8_rtrim(units, _TAIL)
+        (data, starts, ends), (cut, cut_starts, cut_ends) = _bytes_of(units), _bytes_of(cores)
+        marks = (ends - starts) - (cut_ends - cut_starts)
+        # a letter or digit stands before the marks: of ASCII, or a letter from U+00C0 to U+023F (two bytes)
+        some = np.flatnonzero((marks > 0) & (marks < 8) & (cut_ends > cut_starts))
+        last, lead = cut[cut_ends[some] - 1], cut[np.maximum(cut_ends[some] - 2, cut_starts[some])]
+        two = (lead >= 0xC3) & (lead <= 0xC8) & (last >= 0x80) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+        some = some[_ALNUM[last] | two]
+        trimmed = np.zeros(len(units), bool)
+        trimmed[some] = True
+        tail = np.zeros(len(units), np.int64)
+        for j in range(7):
+            tail[some] = np.where(j < marks[some], tail[some] << 8 | data[np.minimum(ends[some] - marks[some] + j, ends[some] - 1)], tail[some])
+        first = data[starts]
+        text = lambda x: pa.scalar(x, pa.large_string())
+        keys = pc.if_else(pa.array(trimmed), cores, units)
+        keys = pc.if_else(pa.array(first == 0x0C), text("\n"), pc.replace_substring(keys, "\x0b", "\n"))
+        keys = pc.binary_join_element_wise(pc.if_else(pa.array(first > 0x0C), text(" "), text("")), keys, text("")).dictionary_encode()
+        names, tails = keys.dictionary.to_pylist(), np.unique(tail)
+        specials = np.flatnonzero(first == 0x0C)
+        special = [end if len(u) == 1 else whole[int(u[1:])] for u in units.take(pa.array(specials)).to_pylist()]
+        # a table of cores, marks and special units; each unit is a core without its line break, if it has none, and marks
+        parts = [*self._remembered(names), *self._tails([int(t).to_bytes(8, "big").lstrip(b"\0").decode() for t in tails.tolist()]), *special]
+        size = np.dtype(self.dtype).itemsize
+        flat, n = np.frombuffer(b"".join(parts), self.dtype), np.fromiter(map(len, parts), np.int64, len(parts)) // size
+        at = np.stack([keys.indices.to_numpy(), len(names) + np.searchsorted(tails, tail)], 1)
+        at[specials, 0] = len(names) + len(tails) + np.arange(len(specials))
+        begin, m = (np.cumsum(n) - n)[at], n[at]
+        skip = np.where(first == 0x0B, len(self._remembered(["\n"])[0]) // size, 0)
+        begin[:, 0] += skip
+        m[:, 0] -= skip
+        return _gathered(flat, begin.ravel(), m.ravel()), m.sum(1)
+
+    def _tails(self, tails: list[str]) -> list[bytes]:
+        """The ids of marks, which follow a letter or digit and so have no space before them."""
+        known = [self.known.get("\x0b" + t) if t else b"" for t in tails]
+        new = [t for t, g in zip(tails, known, strict=True) if g is None]
+        found = dict(zip(new, self._encode_whole(new), strict=True)) if new else {}
+        if len(self.known) < REMEMBERED:
+            self.known.update(("\x0b" + t, ids) for t, ids in found.items())
+        return [found[t] if g is None else g for t, g in zip(tails, known, strict=True)]
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has; null and empty texts have none but ``end``, if given."""
+        texts = pa.concat_arrays([c.cast(pa.large_string()) for c in texts.chunks] if isinstance(texts, pa.ChunkedArray) else [texts.cast(pa.large_string())]).fill_null("")
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        fine, empty = single_spaced(texts), pc.binary_length(texts).to_numpy() == 0
+        # marks that no single-spaced text holds: \x0b before a first word, \x0c for the end, \x0c and a number for a whole text
+        text = lambda x: pa.scalar(x, pa.large_string())
+        spaced = pc.binary_join_element_wise(text("\x0b"), pc.replace_substring(pc.if_else(pa.array(fine), texts, text("")), "\n", " \n"), text(" \x0c"), text(""))
+        odd = np.flatnonzero(~fine & ~empty)
+        names = np.zeros(len(texts), np.int64)
+        names[odd] = np.arange(len(odd))
+        named = pc.binary_join_element_wise(text("\x0c"), pa.array(names).cast(pa.large_string()), text(" \x0c"), text(""))
+        rows = pc.if_else(pa.array(fine), spaced, pc.if_else(pa.array(empty), text("\x0c"), named))
+        whole = self._encode_whole([texts[k].as_py() for k in odd.tolist()]) if len(odd) else []
+        split = pc.split_pattern(rows, " ")
+        coded = split.flatten().dictionary_encode()
+        mark = b"" if end is None else np.array([end], self.dtype).tobytes()
+        flat, n = self._units(coded.dictionary, whole, mark)
+        at = coded.indices.to_numpy()
+        m = n[at]
+        starts = np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy())]
+        return _gathered(flat, (np.cumsum(n) - n)[at], m), np.diff(np.r_[0, np.cumsum(m)][starts])
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a large_string array without nulls, and where each text starts and ends in them."""
+    _, offs, data = texts.buffers()
+    offs = np.frombuffer(offs, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8), offs[:-1], offs[1:]
+
+
+def _gathered(flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of n entries of ``flat`` that begin at each place, one after the other."""
+    return flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Runs of batches of about this many bytes; none is empty."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held)
 
 
 _SEGMENTS = "part int, segment int, ids array<long>, lengths array<long>, symbols binary, freqs binary, blocks array<binary>"
@@ -114,36 +216,36 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_
     tag = F.xxhash64("_text")
     rows = rows.repartitionByRange(n_partitions(spark), F.col("_id"), tag).sortWithinPartitions(F.col("_id"), tag)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, segment = TaskContext.get().partitionId(), 0
-        encoder = _encoder(tokenizer)
-        ids: list = []
-        held: list[bytes] = []
-        size = 0
-        end = np.array([END], encoder.dtype).tobytes()
+    def run(batches: Iterator[pa.RecordBatch], encoder: UnitEncoder) -> Iterator[pa.RecordBatch]:
+        part, segment, size = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            stream = np.frombuffer(b"".join(held), encoder.dtype)
+            ids, lengths, stream = [i for h in held for i in h[0]], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
             table = rans.Table.of(np.bincount(stream))
             coder = table.encoder()
             blocks = [rans.encode(stream[a : a + rans.BLOCK], coder) for a in range(0, len(stream), rans.BLOCK)]
-            lengths = [len(h) // encoder.dtype().itemsize for h in held]
             cols = [[part], [segment], [ids], [lengths], [table.symbols.tobytes()], [table.freqs.tobytes()], [blocks]]
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _SEGMENTS.split(", ")])
 
-        for b in batches:
-            for i, got in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
-                ids.append(i)
-                held.append(got + end)
-                size += len(held[-1]) // encoder.dtype().itemsize
+        for table in gathered(batches, TOGETHER):
+            names, (stream, lengths) = table.column(0).to_pylist(), encoder.encode(table.column(1), END)
+            ends, at = np.cumsum(lengths), 0
+            while at < len(names):  # segments end with a document
+                before = int(ends[at - 1]) if at else 0
+                stop = min(len(names), int(np.searchsorted(ends, before + SEGMENT - size)) + 1)
+                held.append((names[at:stop], lengths[at:stop], stream[before : int(ends[stop - 1])]))
+                size += len(held[-1][2])
+                at = stop
                 if size >= SEGMENT:
                     yield flush()
-                    ids, held, size, segment = [], [], 0, segment + 1
+                    size, segment = 0, segment + 1
+                    held.clear()
         if held:
             yield flush()
 
-    rows.mapInArrow(run, _SEGMENTS).write.parquet(path)
+    rows.mapInArrow(worker(run, "encoder", UnitEncoder, tokenizer), _SEGMENTS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
@@ -155,7 +257,7 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids
     prepare(spark)
     files = spark.read.schema(_SEGMENTS).parquet(path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 part, segment, ids, lengths = (b.column(k)[r].as_py() for k in range(4))
@@ -171,7 +273,7 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    rows = files.mapInArrow(run, "part int, segment int, _id long, at long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    rows = files.mapInArrow(worker(decoded), "part int, segment int, _id long, at long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
     sizes = files.select("part", "segment", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
