@@ -26,7 +26,18 @@ def test_bounds_and_assignment(spark):
     assert [r.run_id for r in C.assign_run(q, C.run_bounds(df)).orderBy("ord").collect()] == [0, 1, -1]
 
 
-def test_joins_against_brute_force(spark):
+def test_assignment_to_overlapping_runs(spark):
+    rng = random.Random(8)
+    bounds = [(s, r, a := rng.randrange(60), a + rng.randrange(12), 1) for s in range(12) for r in range(rng.randrange(9))]
+    rows = [(s, k, k - 3) for s in range(13) for k in range(80)]
+    got = C.assign_run(spark.createDataFrame(rows, "session long, ord long, tick long"), spark.createDataFrame(bounds, "session long, run_id long, t_start long, t_end long, n long")).collect()
+    want = {(s, k): max((r for z, r, a, b, _ in bounds if z == s and a <= t <= b), default=-1) for s, k, t in rows}
+    assert {(r.session, r.ord): r.run_id for r in got} == want and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("span", [A.SPAN, 1])
+def test_joins_against_brute_force(spark, monkeypatch, span):
+    monkeypatch.setattr(A, "SPAN", span)
     rng = random.Random(5)
     right = [(s, rng.randrange(30), k) for s in range(20) for k in range(rng.randrange(9))]
     left = [(s, rng.randrange(-2, 33), k) for s in range(21) for k in range(8)]
@@ -45,6 +56,28 @@ def test_joins_against_brute_force(spark):
         if f or len({a for a, _ in own}) == len(own):
             assert (near[s, k] is None) == (best > 5) and (near[s, k] is None or abs(near[s, k] - t) == best)
         assert same[s, k] == min((o for a, o in own if a == t), default=None)
+    offsets = {}
+    for s, t, _ in left:
+        own = sorted(a for z, a, _ in right if z == s)
+        if own:
+            d = next((a for a in own if a >= t), own[-1]) - t
+            if abs(d) <= 5:
+                offsets.setdefault(s, []).append(d)
+    got = {x.s: x.offset for x in A.modal_offset(q, r, ["s"], 5).collect()}
+    assert got == {s: min((-d.count(x), x) for x in d)[1] or None for s, d in offsets.items()}
+
+
+def test_forward_is_as_fast_as_backward_for_one_key(spark):
+    import time
+
+    rows = spark.range(40_000).selectExpr("0 AS s", "id * 7 AS ts", "id AS ord").cache()
+    rows.count()
+    took = {}
+    for direction in ("backward", "forward", "backward", "forward"):
+        at = time.perf_counter()
+        A.asof(rows, rows.where("ord % 3 = 0"), ["s"], [], None, direction).write.format("noop").mode("overwrite").save()
+        took[direction] = time.perf_counter() - at
+    assert took["forward"] < 3 * took["backward"] + 1
 
 
 def test_cascade_strategies(spark):
@@ -66,8 +99,12 @@ def test_drop_precedence_and_errors(spark):
     assert {r.drop_reason: r.n for r in C.drop_ledger(out).collect()} == {"vetoed": 1, "udp_drop": 1, "no_command": 1, "untrainable_status": 1, "untrainable_outcome": 0}
     with pytest.raises(ValueError):
         C.label_drops(c, f.drop("cycle_id"), cmd)
-    with pytest.raises(ValueError):
-        C.label_drops(c, f.union(f), cmd)
+    for a, b in ((c, f.union(f)), (c.union(c.withColumn("cycle_id", F.lit(None).cast("long"))).union(c.withColumn("cycle_id", F.lit(None).cast("long"))), f)):
+        with pytest.raises(Exception, match="duplicate session, run_id, cycle_id"):
+            C.label_drops(a, b, cmd).where("drop_reason IS NULL").count()
+    for a, b in ((c.limit(0), f), (c, f.limit(0))):
+        with pytest.raises(ValueError, match="instrumentation"):
+            C.label_drops(a, b, cmd)
 
 
 def test_pairs_need_the_middle_row(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .asof import nearest
+from .asof import asof, nearest
 
 # Drop reasons in order, what is trainable, veto sources, limits in microseconds.
 REASONS = ("udp_drop", "no_command", "untrainable_outcome", "untrainable_status", "vetoed")
@@ -26,11 +26,25 @@ def run_bounds(cycles: DataFrame) -> DataFrame:
     return cycles.groupBy("session", "run_id").agg(F.min("tick").alias("t_start"), F.max("tick").alias("t_end"), F.count("*").alias("n"))
 
 
-def assign_run(rows: DataFrame, bounds: DataFrame, ts: str = "tick", key: str = "ord") -> DataFrame:
-    """Adds ``run_id`` of the run whose ticks enclose the row's (the highest if several, -1 if none). key: unique in a session."""
-    b = bounds.select("session", "run_id", "t_start", "t_end")
-    hit = rows.select("session", key, ts).join(b, "session").where(F.col(ts).between(F.col("t_start"), F.col("t_end")))
-    return rows.join(hit.groupBy("session", key).agg(F.max("run_id").alias("run_id")), ["session", key], "left").withColumn("run_id", F.coalesce("run_id", F.lit(-1)))
+def run_cover(bounds: DataFrame) -> DataFrame:
+    """(session, tick, run_id) of the ticks where the highest run that covers a tick changes; null: none covers it.
+
+    Runs that overlap, directly or through others, form a cluster, and only the runs of a cluster are compared with each other.
+    """
+    w = Window.partitionBy("session").orderBy("t_start", "run_id")
+    reached = F.max("t_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    b = bounds.select("session", "run_id", "t_start", "t_end").withColumn("_new", F.when(F.col("t_start") <= reached, 0).otherwise(1))
+    b = b.withColumn("_cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    points = b.select("session", "_cluster", F.explode(F.array("t_start", F.col("t_end") + 1)).alias("tick")).distinct()
+    over = F.when(F.col("tick").between(F.col("t_start"), F.col("t_end")), F.col("run_id"))
+    return points.join(b, ["session", "_cluster"]).groupBy("session", "tick").agg(F.max(over).alias("run_id"))
+
+
+def assign_run(rows: DataFrame, bounds: DataFrame, ts: str = "tick") -> DataFrame:
+    """Adds ``run_id`` of the run whose ticks enclose the row's (the highest if several, -1 if none)."""
+    cover = run_cover(bounds).select("session", F.col("tick").alias(ts), F.lit(0).alias("ord"), "run_id")
+    got = asof(rows, cover, ["session"], ["run_id"], ts=ts)
+    return got.select(*rows.columns, F.coalesce("m.run_id", F.lit(-1).cast("long")).alias("run_id"))
 
 
 def first_written(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
@@ -40,10 +54,10 @@ def first_written(rows: DataFrame, keys: list[str], order: str = "ord") -> DataF
     return low.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
 
 
-def check_unique(rows: DataFrame, keys: list[str], what: str) -> None:
-    """Raises ValueError if a key repeats, rows outside runs included."""
-    if rows.groupBy(*keys).count().where("count > 1").take(1):
-        raise ValueError(f"duplicate {', '.join(keys)} in {what}")
+def once(counted: str, keys: list[str], what: str) -> Column:
+    """True if the number is 1; else the query fails."""
+    said = F.concat(F.lit(f"duplicate {', '.join(keys)} in {what}: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    return F.when(F.col(counted) > 1, F.raise_error(said).cast("boolean")).otherwise(F.lit(True))
 
 
 def vetoed(cycles: DataFrame, executed: DataFrame, tolerance: int = VETO_US, sources: tuple[str, ...] = VETO_SOURCES) -> DataFrame:
@@ -58,21 +72,26 @@ def label_drops(
     """Every cycle with its run, command and ``drop_reason`` (null: kept).
 
     cycles: session, ord, tick, cycle_id, outcome, status, ...; frontier: session, ord, tick, cycle_id, ...; commands: session, ord, tick,
-    cycle_id, linear, angular; executed: session, ord, tick, source. The first reason in order counts. strict: duplicate keys raise.
+    cycle_id, linear, angular; executed: session, ord, tick, source. The first reason in order counts. strict: a query that
+    reads drop_reason fails if a key repeats in cycles or frontier, rows outside runs included. Raises ValueError if a table lacks
+    cycle_id, or cycles or frontier are empty.
     """
     for df, what in ((cycles, "cycles"), (frontier, "frontier"), (commands, "commands")):
         if "cycle_id" not in df.columns:
             raise ValueError(f"{what} have no cycle_id: this recording lacks the instrumentation")
+    for df, what in ((cycles, "cycles"), (frontier, "frontier")):
+        if not df.take(1):
+            raise ValueError(f"no {what}: this recording lacks the instrumentation")
+    keys = ["session", "run_id", "cycle_id"]
     runs = segment_runs(cycles)
     bounds = run_bounds(runs)
-    seen = assign_run(frontier, bounds)
+    seen = assign_run(frontier.select("session", "ord", "tick", "cycle_id"), bounds).groupBy(*keys).agg(F.count("*").alias("_n"))
+    seen = seen.where((once("_n", keys, "frontier") if strict else F.lit(True)) & (F.col("run_id") >= 0)).select(*keys, F.lit(True).alias("_seen"))
+    ordered = commands.where("cycle_id <> -1").select("session", "ord", "tick", "cycle_id", "linear", "angular")
+    given = first_written(assign_run(ordered, bounds).where("run_id >= 0"), keys)
+    given = given.select(*keys, "linear", "angular", F.lit(True).alias("_given"))
     if strict:
-        check_unique(runs, ["session", "run_id", "cycle_id"], "cycles")
-        check_unique(seen, ["session", "run_id", "cycle_id"], "frontier")
-    seen = seen.where("run_id >= 0").select("session", "run_id", "cycle_id", F.lit(True).alias("_seen"))
-    given = first_written(assign_run(commands.where("cycle_id <> -1"), bounds).where("run_id >= 0"), ["session", "run_id", "cycle_id"])
-    given = given.select("session", "run_id", "cycle_id", "linear", "angular", F.lit(True).alias("_given"))
-    keys = ["session", "run_id", "cycle_id"]
+        runs = runs.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where(once("_n", keys, "cycles")).drop("_n")
     joined = runs.join(seen, keys, "left").join(given, keys, "left")
     joined = vetoed(joined, executed, veto_us) if executed is not None else joined.withColumn("vetoed", F.lit(False))
     reason = F.when(F.col("_seen").isNull(), REASONS[0]).when(F.col("_given").isNull(), REASONS[1]).when(~F.col("outcome").isin(*outcomes), REASONS[2])
@@ -102,7 +121,27 @@ def unpivot_roles(frontier: DataFrame, keys: list[str], max_age: int | dict[str,
     out = frontier.select(*keys, "tick", rows.alias("r")).select(*keys, "tick", "r.*")
     present = F.coalesce(F.col("age_us").between(F.lit(0), F.col("limit")), F.lit(False))
     out = out.withColumn("present", present)
-    return out.select(*keys, "role", "seq", "age_us", "present", F.when(F.col("present"), F.col("tick") - F.col("age_us")).otherwise(F.lit(-1).cast("long")).alias("capture_us"))
+    capture = F.when(F.col("present"), F.col("tick") - F.col("age_us")).otherwise(F.lit(-1).cast("long"))
+    return not_after_tick(out.select(*dict.fromkeys([*keys, "tick"]), "role", "seq", "age_us", "present", capture.alias("capture_us"))).select(*keys, "role", "seq", "age_us", "present", "capture_us")
+
+
+def not_after_tick(rows: DataFrame) -> DataFrame:
+    """The rows (tick, role, present, capture_us, ...) as they are; a query fails if a present capture is later than its own tick."""
+    said = F.concat(F.lit("role "), F.col("role"), F.lit(": capture after its own tick"))
+    late = F.col("present") & (F.col("capture_us") > F.col("tick"))
+    return rows.withColumn("capture_us", F.when(late, F.raise_error(said).cast("long")).otherwise(F.col("capture_us")))
+
+
+def commanded(cycles: DataFrame) -> DataFrame:
+    """Adds ``action``: linear and angular as an array of two floats."""
+    return cycles.withColumn("action", F.array(F.col("linear").cast("float"), F.col("angular").cast("float")))
+
+
+def normalised(cycles: DataFrame, stats: DataFrame, columns: list[str]) -> DataFrame:
+    """Each column less its mean, by its deviation; stats: the one row of action_stats."""
+    both = cycles.crossJoin(F.broadcast(stats))  # one row
+    out = [(F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std") for c in columns]
+    return both.select(*[c for c in cycles.columns if c not in columns], *[x.alias(c) for x, c in zip(out, columns, strict=True)])
 
 
 def with_proprio(cycles: DataFrame, velocity: DataFrame | None, key: str = "velocity_seq") -> DataFrame:

@@ -30,17 +30,17 @@ def sidecar_frames(meta: DataFrame, by: list[str]) -> DataFrame:
 
 
 def group_report(frames: DataFrame, by: list[str], sizes: DataFrame | None = None, undecodable: DataFrame | None = None) -> DataFrame:
-    """For each group: packets declared, their bytes, gaps in seq, frames lost in them, and the first number after a gap.
+    """For each group: packets declared, their bytes, gaps in seq, frames lost in them, and the first number lost in the first gap.
 
     sizes (by, size: bytes of the file) adds ``bytes_actual`` and ``truncated`` (the file has other bytes than declared); groups without
     a file are left out. undecodable (by, ...: a row for each packet, see undecodable_packets) adds their number.
     """
     w = Window.partitionBy(*by).orderBy("ord")
-    gap = F.col("seq") - F.lag("seq").over(w)
-    rows = frames.withColumn("_gap", gap).withColumn("_lost", F.when(F.col("_gap") > 1, F.col("_gap") - 1).otherwise(0))
+    rows = frames.withColumn("_prev", F.lag("seq").over(w)).withColumn("_gap", F.col("seq") - F.col("_prev"))
+    rows = rows.withColumn("_lost", F.when(F.col("_gap") > 1, F.col("_gap") - 1).otherwise(0))
     out = rows.groupBy(*by).agg(
         F.count("*").alias("declared"), F.sum("length").alias("bytes"), F.sum((F.col("_lost") > 0).cast("long")).alias("gaps"), F.sum("_lost").cast("long").alias("lost"),
-        F.min(F.when(F.col("_lost") > 0, F.col("seq"))).alias("first_gap"),
+        F.min(F.when(F.col("_lost") > 0, F.struct("ord", (F.col("_prev") + 1).alias("seq"))))["seq"].alias("first_gap"),
     )
     if sizes is not None:
         out = out.join(sizes.select(*by, F.col("size").alias("bytes_actual")), by).withColumn("truncated", F.col("bytes") != F.col("bytes_actual"))
