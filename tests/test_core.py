@@ -1,4 +1,6 @@
+import json
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -211,11 +213,113 @@ def test_topics(spark, tmp_path):
     got = topics.read_topic(spark, f"{root}/s1", topics.PLANNING, schema).orderBy("ord").collect()
     assert [(r.cycle_id, r.status) for r in got] == [(1, ""), (2, "x"), (3, "NA")]
     assert topics.read_topic(spark, f"{root}/s1", topics.COMMAND, schema).count() == 0
-    (d / f"navigation_planning_cycle_{'9'.zfill(20)}.csv").write_text("a;b\n1;2;3\n")
-    with pytest.raises(ValueError):
+    names = [r.file_name for r in topics.read_topic(spark, f"{root}/s1", topics.PLANNING, schema).orderBy("ord").collect()]
+    assert names == sorted(names) and len(set(names)) == 2
+    odd = d / f"navigation_planning_cycle_{'9'.zfill(20)}.csv"
+    odd.write_text('cycle_id;note;status\n4;"a;b";y\nNA;;z\n')  # a quoted separator, and a cell that is no number
+    got = topics.read_topic(spark, f"{root}/s1", topics.PLANNING, schema).orderBy("ord").collect()
+    assert [(r.cycle_id, r.note, r.status) for r in got[3:]] == [(4, "a;b", "y"), (None, "", "z")] and got[0].note is None
+    for row in ("1;2;3", "1", '1;"2;3"', '"1";2;3'):
+        odd.write_text(f"cycle_id;status\n{row}\n")
+        bad = topics.read_topic(spark, f"{root}/s1", topics.PLANNING, schema)
+        if row != '1;"2;3"':
+            for query in (bad.select("status"), bad.select(F.lit(1)), bad.groupBy().count()):
+                with pytest.raises(Exception, match="2 fields"):
+                    query.collect()
+        else:
+            assert bad.where("chunk_start = 9").first().status == "2;3"
+    odd.write_text("")
+    with pytest.raises(ValueError, match="empty chunk"):
         topics.read_topic(spark, f"{root}/s1", topics.PLANNING, schema)
 
 
+def write_session(root, name="s1", ticks=4, drop=()):
+    """A recording of some ticks with two cameras and a lidar role."""
+    d = root / name / "data"
+
+    def topic(path, header, rows):
+        (d / path).mkdir(parents=True, exist_ok=True)
+        (d / path / f"{path.replace('/', '_')}_{'5'.zfill(20)}.csv").write_text("\n".join([header, *rows]) + "\n")
+
+    at = [1_000_000 + 100_000 * k for k in range(ticks)]
+    topic("navigation/planning_cycle", "timestamp_us;cycle_id;velocity_timestamp_us;velocity_seq;outcome;status", [f"{t};{k};{t};{k};planned;navigating" for k, t in enumerate(at)])
+    roles = ("rgb_front", "depth_front", "lidar_front_left_front")
+    header = "timestamp_us;cycle_id;provenance;" + ";".join(f"seq.{r};age_us.{r}" for r in roles)
+    topic("navigation/sensor_frontier", header, [f"{t};{k};observed;" + ";".join(f"{k};20000" for _ in roles) for k, t in enumerate(at) if k not in drop])
+    topic("navigation/command", "timestamp_us;cycle_id;navigation_status;desired_linear_velocity;desired_angular_velocity", [f"{t};{k};navigating;{k + 0.5};{-k}" for k, t in enumerate(at)])
+    topic("ll_executed_command", "timestamp_us;source", [f"{t};motor_target" for t in at])
+    topic("robot/velocity_estimate", "timestamp_us;seq;frame_id;linear_velocity;angular_velocity", [f"{t};{k};b;{k + 1}.5,0,0;0,0,{k}.25" for k, t in enumerate(at)])
+    topic("lidar2d_front_left_front/points", "timestamp_us;seq;frame_id;x;y;z", [f"{t - 20000};{k};lidar_front_left;0,1,{k};0,0.5,1;0,0,0" for k, t in enumerate(at)])
+    for folder, more in (("camera_oakd_front_rgb/image_encoded", {"encoding": "h265", "width": 64, "height": 64}), ("camera_oakd_front_mono_l/depth_image", {"width": 32, "height": 32, "horizon_m": 5.0, "step_mm": 16})):
+        (d / folder).mkdir(parents=True)
+        meta = more | {"frames": [{"timestamp_us": t - 20000, "seq": k, "length": 2} for k, t in enumerate(at)]}
+        (d / folder / "g.meta.json").write_text(json.dumps(meta))
+        (d / folder / "g.bin").write_bytes(b"".join(bytes([k, 100 + k]) for k in range(ticks)))
+        (d / folder / "orphan.meta.json").write_text(json.dumps(meta))
+        (d / folder / "broken.meta.json").write_text("{")
+        (d / folder / "broken.bin").write_bytes(b"x")
+
+
+def test_from_recordings_to_samples(spark, tmp_path, capsys):
+    from tickloom.__main__ import main
+    from tickloom.plans import chain
+
+    def rgb_of(blobs, info):
+        assert info["codec"] == "hevc"
+        return [np.full((info["height"], info["width"], 3), b[1], np.uint8) for b in blobs]
+
+    def depth_of(blobs, info):
+        assert info["codec"] == "ffv1"
+        return [np.full((info["height"], info["width"]), b[1], np.uint16) for b in blobs]
+
+    write_session(tmp_path / "in", "s1")
+    write_session(tmp_path / "in", "s2", 5, drop=(4,))
+    root, store = f"file://{tmp_path}/in", f"file://{tmp_path}/store"
+    sys.modules["fakes"] = type(sys)("fakes")
+    sys.modules["fakes"].__dict__.update(rgb=rgb_of, depth=depth_of)
+    main(["preprocess", "--sessions", root, "--out-root", store, "--rgb-decoder", "fakes:rgb", "--depth-decoder", "fakes:depth"], spark)
+    assert "s1: 4 cycles" in capsys.readouterr().out
+    m = P.read_manifest(spark, store, "s2")
+    assert m["dropped"]["udp_drop"] == 1 and m["rgb_decode_rate"] == {"rgb_front": 1.0} and m["depth_join_strategy"] == {"depth_front": "exact"}
+    assert list(m) == sorted(m) and m["lidar_match_rate"] == {"lidar_front_left_front": 1.0}
+    whole = P.read_table(spark, store, "manifest")
+    assert sorted(P.read_json_manifest(P.manifest_json(spark, store), whole).collect()) == sorted(whole.select(*whole.columns).collect())
+    pairs = P.training_set(spark, store)
+    assert sorted((r.session, r.cycle_i, r.cycle_j) for r in pairs.collect()) == [("s1", 0, 2), ("s1", 1, 3), ("s2", 0, 2), ("s2", 1, 3)]
+    got = {(r.session, r.cycle_i): r for r in chain.samples(spark, store, pairs, ("rgb_front",), ("depth_front",)).collect()}
+    r = got["s1", 1]
+    rgb = np.frombuffer(r.rgb, "<f4").reshape(2, 1, 3, 190, 253)
+    assert np.allclose(rgb[0], 101 / 255) and np.allclose(rgb[1], 103 / 255)
+    depth = np.frombuffer(r.depth, "<f4").reshape(2, 1, 2, 100, 160)
+    assert np.allclose(depth[1, 0, 0], 103 * 16 / 1000 / 5) and (depth[:, :, 1] == 1).all()
+    grid = np.frombuffer(r.bev, "<f4").reshape(2, 1, 120, 120)
+    want = np.zeros((120, 120))
+    for x, y in ((1, 0.5), (1, 1)):
+        want[int((np.float32(x + 0.448) + np.float32(6)) / np.float32(0.1)), int((np.float32(y + 0.251) + np.float32(6)) / np.float32(0.1))] = 1
+    assert (grid[0, 0] == want).all() and len(got) == 4
+    assert np.allclose(np.frombuffer(r.action, "<f4"), [1, -1]) and np.frombuffer(r.proprio, "<f4").tolist() == [2.5, 1.25, 4.5, 3.25]
+    assert np.frombuffer(r.t_us, "<i8").tolist() == [1_100_000, 1_300_000]
+    main(["diagnose", f"{root}/s1/data/camera_oakd_front_rgb/image_encoded", "--decoder", "fakes:rgb", "--verbose"], spark)
+    assert "1 groups, 0 with gaps, 0 frames lost, 0 truncated" in capsys.readouterr().out
+    for bad in (["preprocess"], ["preprocess", "--session", "a"], ["preprocess", "--session", "a", "--sessions", "b"]):
+        with pytest.raises(SystemExit):
+            main(bad, spark)
+
+
+def test_names_of_roles_and_channels():
+    assert topics.lidar_topic("lidar_front_left_front") == "lidar2d_front_left_front/points"
+    assert topics.lidar_frame("lidar2d_back_right_right") == topics.lidar_frame("lidar_back_right_back") == "lidar_back_right"
+    assert topics.lidar_roles_of("lidar_back_left") == ["lidar_back_left_left", "lidar_back_left_back"]
+    assert (topics.rgb_role("oakd_front"), topics.depth_role("oakd_back")) == ("rgb_front", "depth_back")
+
+
+def test_a_capture_after_its_tick_raises(spark):
+    rows = spark.createDataFrame([("r", 10, 11, False), ("r", 10, 9, True)], "role string, tick long, capture_us long, present boolean")
+    assert C.not_after_tick(rows).count() == 2
+    with pytest.raises(Exception, match="after its own tick"):
+        C.not_after_tick(rows.withColumn("present", F.lit(True))).collect()
+
+
 def test_entry_without_the_subpackage():
     import __spark_entry__ as e
 
@@ -252,3 +356,25 @@ def test_store_without_lidar_gives_no_pairs(spark, tmp_path):
     assert P.training_set(spark, f"file://{tmp_path}/s").count() == 0
     with pytest.raises(ValueError):
         P.preprocess(labelled, f"file://{tmp_path}/s", lidar={"lidar_back_left_back": labelled})
+
+
+def test_injected_encoder_and_dynamics(spark):
+    x = np.arange(24, dtype=np.float32).reshape(2, 3, 4)
+    df = spark.createDataFrame([(k, bytearray(v.tobytes()), [float(k)] * 2) for k, v in enumerate(x)], "k long, t binary, a array<float>")
+    out = L.encoded(df, "t", lambda b: b.sum(2), (3, 4))
+    assert [r.z for r in out.orderBy("k").collect()] == x.sum(2).tolist()
+    layers = [(np.ones((5, 5), np.float32) / 10, np.zeros(5, np.float32)), (np.ones((3, 5), np.float32), np.ones(3, np.float32))]
+    for r in L.latent_step(out, "z", "a", layers).collect():
+        h = np.r_[r.z, r.a] @ layers[0][0].T
+        assert np.allclose(r.z_next, np.array(r.z) + (h / (1 + np.exp(-h))) @ layers[1][0].T + 1, rtol=1e-5)
+    p = {r.block: r for r in L.variance_penalty(spark.createDataFrame([([0.0, 1.0, 5.0],), ([0.5, 1.0, -5.0],)], "z array<double>"), "z", [(0, 2), (2, 3)]).collect()}
+    assert p[0].penalty == pytest.approx((1 - np.std([0, 0.5], ddof=1) + 1) / 2) and p[1].penalty == 0
+    assert L.target_step([np.ones(2)], [np.zeros(2)], 0.9)[0].tolist() == [0.9, 0.9]
+
+
+def test_resizing():
+    image = np.arange(12, dtype=np.uint16).reshape(3, 4)
+    assert R.resized(image, 4, 3, True) is image
+    assert R.resized(image, 2, 3, False).tolist() == [[1, 3], [5, 7], [9, 11]]
+    assert R.resized(np.array([[0, 100]], np.uint8), 4, 1, True).tolist() == [[0, 25, 75, 100]]
+    assert R.rgb_channels(np.full((2, 3, 3), 255, np.uint8)).shape == (3, 2, 3) and R.dense_bev([121]).nonzero()[0].tolist() == [1]

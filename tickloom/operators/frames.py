@@ -19,13 +19,16 @@ SIDECAR = (
 
 # Lidar roles, two half scans for each of four frames.
 LIDAR_FRAMES = ("lidar_front_left", "lidar_front_right", "lidar_back_left", "lidar_back_right")
+LIDAR_ROLES = tuple(f"lidar_{r}" for r in ("front_left_front", "front_left_left", "front_right_right", "front_right_front", "back_left_left", "back_left_back", "back_right_back", "back_right_right"))
+#: Codecs of sidecars that name none, by kind of camera.
+RGB_CODEC, DEPTH_CODEC = "h265", "ffv1"
 
 
-def sidecar_frames(meta: DataFrame, by: list[str]) -> DataFrame:
+def sidecar_frames(meta: DataFrame, by: list[str], default_codec: str = "") -> DataFrame:
     """A row for each packet of sidecars (by, meta: JSON text), with the group's codec and quantisation; broken sidecars are skipped."""
     g = meta.select(*by, F.from_json("meta", SIDECAR).alias("g")).where("g.frames IS NOT NULL")
     quant = F.when(F.col("g.step_mm").isNotNull(), F.struct(F.col("g.horizon_m").alias("horizon_m"), F.col("g.step_mm").alias("step_mm")))
-    rows = g.select(*by, "g.width", "g.height", S.codec_name(F.coalesce("g.encoding", "g.codec")).alias("codec"), F.unbase64("g.extradata").alias("extradata"), quant.alias("quantisation"), F.posexplode("g.frames"))
+    rows = g.select(*by, "g.width", "g.height", S.codec_name(F.coalesce("g.encoding", "g.codec", F.lit(default_codec))).alias("codec"), F.unbase64("g.extradata").alias("extradata"), quant.alias("quantisation"), F.posexplode("g.frames"))
     return rows.select(*by, "width", "height", "codec", "extradata", "quantisation", F.col("pos").cast("long").alias("frame_index"), F.col("col.timestamp_us").alias("ts"), F.coalesce("col.seq", F.lit(-1).cast("long")).alias("seq"), F.col("col.length").alias("length"))
 
 
@@ -70,34 +73,53 @@ def cascade(undecodable: DataFrame, report: DataFrame, by: list[str]) -> DataFra
 Decoder = Callable[[list[bytes], dict], list["np.ndarray | None"]]
 
 
-def decode_groups(groups: DataFrame, frames: DataFrame, by: list[str], decoder: Decoder, stop_at_torn: bool = True) -> DataFrame:
-    """Decodes each group (by, content) once; frames: by, frame_index, length, wanted. Rows (by, frame_index, shape, pixels) of wanted frames decoded.
+def decode_groups(groups: DataFrame, frames: DataFrame, by: list[str], decoder: Decoder, stop_at_torn: bool = True, info: tuple[str, ...] = (), finish: Callable[[np.ndarray, dict], np.ndarray] | None = None) -> DataFrame:
+    """Decodes each group (by, content) once; frames: by, frame_index, length, wanted. Rows (by, frame_index, dtype, shape, pixels) of wanted frames decoded.
 
     Packets follow each other in the file; from the first that does not fit on they are torn and left out, or, if asked, cut short.
+    info: columns of frames, equal in a group, that the decoder and ``finish`` get besides the keys. finish: what becomes of
+    each decoded image. A task holds one group's packets and images.
     """
     ship(groups.sparkSession)
-    listed = frames.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("frame_index", "length", "wanted"))).alias("packets")).where(F.exists("packets", lambda p: p["wanted"]))
+    about = [F.first(c).alias(c) for c in info]
+    listed = frames.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("frame_index", "length", "wanted"))).alias("packets"), *about).where(F.exists("packets", lambda p: p["wanted"]))
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.select(*by).schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
             for r in b.to_dict("records"):
-                at, blobs, index = 0, [], []
+                at, blobs, index, out = 0, [], [], []
+                known = {k: r[k] for k in (*by, *info)}
                 for p in r["packets"]:
                     if stop_at_torn and at + p["length"] > len(r["content"]):
                         break
                     blobs.append(bytes(r["content"][at : at + p["length"]]))
                     index.append(p)
                     at += p["length"]
-                for p, image in zip(index, decoder(blobs, {k: r[k] for k in by}), strict=True):
+                for p, image in zip(index, decoder(blobs, known), strict=True):
                     if p["wanted"] and image is not None:
+                        image = image if finish is None else finish(image, known)
                         out.append([*(r[k] for k in by), p["frame_index"], str(image.dtype), list(image.shape), np.ascontiguousarray(image).tobytes()])
-            yield pd.DataFrame(out, columns=[*by, "frame_index", "dtype", "shape", "pixels"])
+                yield pd.DataFrame(out, columns=[*by, "frame_index", "dtype", "shape", "pixels"])
 
     return groups.select(*by, "content").join(listed, by).mapInPandas(run, f"{keys}, frame_index long, dtype string, shape array<int>, pixels binary")
 
 
+def rgb_finish(width: int, height: int) -> Callable[[np.ndarray, dict], np.ndarray]:
+    """Colour images at this size."""
+    return lambda image, _: resized(image, width, height, True)
+
+
+def depth_finish(width: int, height: int) -> Callable[[np.ndarray, dict], np.ndarray]:
+    """Depth in millimetres at this size; groups without a quantisation hold millimetres already."""
+
+    def finish(image: np.ndarray, info: dict) -> np.ndarray:
+        q = info.get("quantisation")
+        return resized(image if q is None else dequantise_plane(image, int(q["step_mm"])), width, height, False)
+
+    return finish
+
+
 def dequantise_plane(units: np.ndarray, step_mm: int) -> np.ndarray:
     """Millimetres of a uint16 plane of quantised depth; another type raises TypeError."""
     if units.dtype != np.uint16:
@@ -153,3 +175,21 @@ def bev(cycles: DataFrame, matched_scans: DataFrame, by: list[str]) -> DataFrame
     some = matched_scans.select(*by).distinct().withColumn("valid", F.lit(True))
     out = cycles.select(*by).join(some, by, "left").join(occupied_cells(points, by), by, "left")
     return out.select(*by, F.coalesce("cells", F.array().cast("array<int>")).alias("cells"), F.coalesce("valid", F.lit(False)).alias("valid"))
+
+
+def rgb_channels(image: np.ndarray) -> np.ndarray:
+    """A colour image (height, width, 3) of bytes as three planes of floats from 0 to 1."""
+    return image.transpose(2, 0, 1).astype(np.float32) / np.float32(255)
+
+
+def depth_channels(mm: np.ndarray) -> np.ndarray:
+    """A plane of millimetres as two planes of floats: the share of the range, and whether there is a reading."""
+    metres = mm.astype(np.float32) / np.float32(1000)
+    return np.stack([metres / np.float32(S.DEPTH_RANGE_M), (metres > 0).astype(np.float32)])
+
+
+def dense_bev(cells: list[int]) -> np.ndarray:
+    """The occupancy grid of a list of cells."""
+    grid = np.zeros(S.BEV_CELLS * S.BEV_CELLS, np.uint8)
+    grid[np.asarray(cells, np.int64)] = 1
+    return grid.reshape(S.BEV_CELLS, S.BEV_CELLS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,3 +52,22 @@ def latent_step(df: DataFrame, latent: str, action: str, layers: list[tuple[np.n
         return pd.Series(list((base + x).astype(np.float32)))
 
     return df.withColumn(out, step(latent, action))
+
+
+def encoded(df: DataFrame, column: str, model: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...], out: str = "z", dtype: str = "<f4") -> DataFrame:
+    """Adds the output of an encoder that the caller brings (rows of tensors to rows of floats) for tensors kept as bytes of ``dtype``.
+
+    Cameras of one step are averaged by the model, not here. The library has no trained encoders.
+    """
+
+    @F.pandas_udf("array<float>")
+    def run(x: pd.Series) -> pd.Series:
+        batch = np.stack([np.frombuffer(b, dtype).reshape(shape) for b in x]) if len(x) else np.zeros((0, *shape), dtype)
+        return pd.Series(list(np.asarray(model(batch), np.float32)))
+
+    return df.withColumn(out, run(column))
+
+
+def target_step(target: list[np.ndarray], online: list[np.ndarray], decay: float) -> list[np.ndarray]:
+    """The slowly following weights of a target model: decay * target + (1 - decay) * online."""
+    return [decay * t + (1 - decay) * o for t, o in zip(target, online, strict=True)]

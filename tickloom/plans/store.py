@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import asof as A
 from ..operators import cycles as C
+from ..operators.frames import LIDAR_ROLES
 
 #: The manifest's schema version and where its actions come from.
 VERSION, ACTION_SOURCE = 1, "commanded_cycle"
-#: Sizes (width, height) of stored images, the limit of matches in microseconds, lidar roles in order.
+#: Sizes (width, height) of stored images, the limit of matches in microseconds.
 RGB_SIZE, DEPTH_SIZE, MATCH_US = (253, 190), (160, 100), 50_000
-LIDAR_ROLES = tuple(f"lidar_{r}" for r in ("front_left_front", "front_left_left", "front_right_right", "front_right_front", "back_left_left", "back_left_back", "back_right_back", "back_right_right"))
 KEYS = ["session", "run_id", "cycle_id"]
 
 
@@ -25,7 +25,26 @@ def write_table(df: DataFrame, store: str, name: str) -> None:
 
 
 def read_table(spark: SparkSession, store: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{store}/{name}")
+    return spark.read.parquet(f"{store}/{name}").withColumn("session", F.col("session").cast("string"))
+
+
+def read_manifest(spark: SparkSession, store: str, session: str) -> dict:
+    """A session's manifest by name, sorted. Raises KeyError if the store has none."""
+    row = read_table(spark, store, "manifest").where(F.col("session") == session).first()
+    if row is None:
+        raise KeyError(session)
+    return dict(sorted(row.asDict(recursive=True).items()))
+
+
+def manifest_json(spark: SparkSession, store: str) -> DataFrame:
+    """(session, json): each manifest as JSON text with sorted keys; ``read_json_manifest`` reads it back."""
+    rows = read_table(spark, store, "manifest")
+    return rows.select("session", F.to_json(F.struct(*sorted(rows.columns))).alias("json"))
+
+
+def read_json_manifest(texts: DataFrame, like: DataFrame) -> DataFrame:
+    """Of (json): manifests with the columns of ``like``."""
+    return texts.select(F.from_json("json", like.schema).alias("m")).select("m.*")
 
 
 def camera_index(kept: DataFrame, roles: DataFrame, frames: DataFrame, tolerance: int = MATCH_US) -> tuple[DataFrame, DataFrame]:

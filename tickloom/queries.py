@@ -28,13 +28,13 @@ RUNS = EV + """, ru AS (SELECT *, sum(CASE WHEN cycle_id <= prev THEN 1 ELSE 0 E
 BOUNDS = RUNS + ", bo AS (SELECT session, run_id, min(tick) AS t_start, max(tick) AS t_end, count(*) AS n FROM ru GROUP BY ALL)"
 LABELS = RUNS + f""", ve AS (
   SELECT c.session, c.ord, b.tick AS bt, b.ord AS bo, f.tick AS ft, f.ord AS fo FROM ru c
-  ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type IN ('error', 'purchase') AND ord % 7 = 0) b ON c.session = b.session AND c.tick > b.tick
-  ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type IN ('error', 'purchase') AND ord % 7 = 0) f ON c.session = f.session AND c.tick <= f.tick
+  ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type IN ('error', 'purchase') AND value < 120) b ON c.session = b.session AND c.tick > b.tick
+  ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type IN ('error', 'purchase') AND value < 120) f ON c.session = f.session AND c.tick <= f.tick
 ), vx AS (
   SELECT v.session, v.ord, e.event_type = 'error' AND abs(e.tick - r.tick) <= {HOUR} AS vetoed FROM ve v JOIN ru r USING (session, ord)
   JOIN ev e ON e.session = v.session AND e.ord = CASE WHEN ft IS NULL THEN bo WHEN bt IS NULL THEN fo WHEN r.tick - bt <= ft - r.tick THEN bo ELSE fo END
 ), la AS (
-  SELECT ru.*, CASE WHEN ord % 50 = 0 THEN 'udp_drop' WHEN ord % 13 = 0 OR outcome LIKE 'skipped%' THEN 'no_command' WHEN outcome <> 'planned' THEN 'untrainable_outcome'
+  SELECT ru.*, CASE WHEN value BETWEEN 100 AND 110 THEN 'udp_drop' WHEN value BETWEEN 200 AND 240 OR outcome LIKE 'skipped%' THEN 'no_command' WHEN outcome <> 'planned' THEN 'untrainable_outcome'
     WHEN status <> 'navigating' THEN 'untrainable_status' WHEN coalesce(vetoed, false) THEN 'vetoed' END AS drop_reason
   FROM ru LEFT JOIN vx USING (session, ord))"""
 KEPT = LABELS + ", ke AS (SELECT session, run_id, cycle_id, tick, value FROM la WHERE drop_reason IS NULL)"
@@ -71,10 +71,10 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     ev = events(spark, d).drop("props")
-    commands = ev.where("ord % 13 <> 0 AND outcome NOT LIKE 'skipped%'").select("session", "ord", "tick", "cycle_id", F.col("value").alias("linear"), F.col("value").alias("angular"))
+    commands = ev.where("value NOT BETWEEN 200 AND 240 AND outcome NOT LIKE 'skipped%'").select("session", "ord", "tick", "cycle_id", F.col("value").alias("linear"), F.col("value").alias("angular"))
     source = F.when(F.col("event_type") == "error", "protective_stop").otherwise("motor_target")
-    executed = ev.where("event_type IN ('error', 'purchase') AND ord % 7 = 0").select("session", "ord", "tick", source.alias("source"))
-    return C.label_drops(ev, ev.where("ord % 50 <> 0").select("session", "ord", "tick", "cycle_id"), commands, executed, veto_us=HOUR)
+    executed = ev.where("event_type IN ('error', 'purchase') AND value < 120").select("session", "ord", "tick", source.alias("source"))
+    return C.label_drops(ev, ev.where("value NOT BETWEEN 100 AND 110").select("session", "ord", "tick", "cycle_id"), commands, executed, veto_us=HOUR)
 
 
 def kept(spark: SparkSession, d: str) -> DataFrame:
@@ -133,40 +133,40 @@ def q7_asof_forward(spark, d):
 def q8_nearest_veto(spark, d):
     ev = events(spark, d)
     source = F.when(F.col("event_type") == "error", "protective_stop").otherwise("motor_target")
-    executed = ev.where("event_type IN ('error', 'purchase') AND ord % 7 = 0").select("session", "ord", "tick", source.alias("source"))
+    executed = ev.where("event_type IN ('error', 'purchase') AND value < 120").select("session", "ord", "tick", source.alias("source"))
     return C.vetoed(ev, executed, HOUR).select("session", "ord", "vetoed")
 
 
-@query(EV + " SELECT e.session, e.ord, coalesce(x.ord, -1) AS m_ord FROM ev e LEFT JOIN (SELECT * FROM ev WHERE ord % 3 = 0) x ON x.session = e.session AND x.tick = e.tick")
+@query(EV + " SELECT e.session, e.ord, coalesce(x.ord, -1) AS m_ord FROM ev e LEFT JOIN (SELECT * FROM ev WHERE event_type IN ('click', 'view')) x ON x.session = e.session AND x.tick = e.tick")
 def q9_exact(spark, d):
-    ev = events(spark, d).withColumnRenamed("tick", "ts").select("session", "ord", "ts")
-    return A.exact(ev, ev.where("ord % 3 = 0"), ["session"], []).select("session", "ord", A.none_as(F.col("m.ord")).alias("m_ord"))
+    ev = events(spark, d).withColumnRenamed("tick", "ts").select("session", "ord", "ts", "event_type")
+    return A.exact(ev, ev.where("event_type IN ('click', 'view')"), ["session"], []).select("session", "ord", A.none_as(F.col("m.ord")).alias("m_ord"))
 
 
-@query(EV + ", f AS (SELECT session, tick + 3000 AS ts FROM ev WHERE ord % 5 <> 0), q AS (SELECT e.session, f.ts - e.tick AS d FROM ev e ASOF JOIN f ON e.session = f.session AND e.tick <= f.ts) SELECT s.session, nullif(m, 0) AS offset_us FROM (SELECT DISTINCT session FROM q WHERE abs(d) <= 50000) s JOIN (SELECT session, mode(d ORDER BY d) AS m FROM q WHERE abs(d) <= 50000 GROUP BY session) USING (session)")
+@query(EV + ", f AS (SELECT session, tick + 3000 AS ts FROM ev WHERE event_type <> 'view'), q AS (SELECT e.session, f.ts - e.tick AS d FROM ev e ASOF JOIN f ON e.session = f.session AND e.tick <= f.ts) SELECT s.session, nullif(m, 0) AS offset_us FROM (SELECT DISTINCT session FROM q WHERE abs(d) <= 50000) s JOIN (SELECT session, mode(d ORDER BY d) AS m FROM q WHERE abs(d) <= 50000 GROUP BY session) USING (session)")
 def q10_modal_offset(spark, d):
-    ev = events(spark, d).select("session", "ord", F.col("tick").alias("ts"))
-    return A.modal_offset(ev, ev.where("ord % 5 <> 0").withColumn("ts", F.col("ts") + 3000), ["session"], 50_000).select("session", F.col("offset").alias("offset_us"))
+    ev = events(spark, d).select("session", "ord", F.col("tick").alias("ts"), "event_type")
+    return A.modal_offset(ev, ev.where("event_type <> 'view'").withColumn("ts", F.col("ts") + 3000), ["session"], 50_000).select("session", F.col("offset").alias("offset_us"))
 
 
 _SHIFT = "CASE WHEN session % 3 = 0 THEN 0 WHEN session % 3 = 1 THEN 3000 ELSE 0 END"
 
 
-@query(EV + f""", f AS (SELECT session, ord, tick + {_SHIFT} AS ts FROM ev WHERE session % 3 <> 2 OR ord % 2 = 0)
+@query(EV + f""", f AS (SELECT session, ord, tick + {_SHIFT} AS ts FROM ev WHERE session % 3 <> 2 OR event_type IN ('click', 'error'))
 SELECT e.session, e.tick AS capture_us, coalesce(CASE WHEN e.session % 3 = 2 THEN CASE WHEN e.tick - a.ts <= {24 * HOUR} THEN a.ord END ELSE e.ord END, -1) AS frame_ord,
   CASE e.session % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'constant_offset' ELSE 'approximate' END AS strategy
 FROM ev e ASOF LEFT JOIN f a ON e.session = a.session AND e.tick >= a.ts""")
 def q11_cascade(spark, d):
-    ev = events(spark, d).select("session", "ord", F.col("tick").alias("ts"))
-    frames = ev.where("session % 3 <> 2 OR ord % 2 = 0").withColumn("ts", F.col("ts") + F.expr(_SHIFT))
+    ev = events(spark, d).select("session", "ord", F.col("tick").alias("ts"), "event_type")
+    frames = ev.where("session % 3 <> 2 OR event_type IN ('click', 'error')").withColumn("ts", F.col("ts") + F.expr(_SHIFT))
     out = A.resolve_frames(ev.withColumnRenamed("ts", "capture_us"), frames, ["session"], 24 * HOUR)
     return out.select("session", "capture_us", A.none_as(F.col("frame_ord")).alias("frame_ord"), "strategy")
 
 
-@query(EV + f", f AS (SELECT session, ord, tick AS ts, CASE WHEN ord % 4 = 0 THEN -1 ELSE cycle_id END AS seq FROM ev WHERE ord % 2 = 0), k AS (SELECT session, seq, max(ord) AS o FROM f WHERE seq >= 0 GROUP BY ALL) SELECT e.session, e.ord, coalesce(k.o, CASE WHEN e.tick - a.ts <= {24 * HOUR} THEN a.ord END, -1) AS m_ord FROM ev e ASOF LEFT JOIN f a ON e.session = a.session AND e.tick >= a.ts LEFT JOIN k ON k.session = e.session AND k.seq = e.cycle_id")
+@query(EV + f", f AS (SELECT session, ord, tick AS ts, CASE WHEN event_type = 'view' THEN -1 ELSE cycle_id END AS seq FROM ev WHERE event_type IN ('click', 'view')), k AS (SELECT session, seq, max(ord) AS o FROM f WHERE seq >= 0 GROUP BY ALL) SELECT e.session, e.ord, coalesce(k.o, CASE WHEN e.tick - a.ts <= {24 * HOUR} THEN a.ord END, -1) AS m_ord FROM ev e ASOF LEFT JOIN f a ON e.session = a.session AND e.tick >= a.ts LEFT JOIN k ON k.session = e.session AND k.seq = e.cycle_id")
 def q12_key_then_asof(spark, d):
-    ev = events(spark, d).select("session", "ord", F.col("tick").alias("ts"), F.col("cycle_id").alias("seq"))
-    right = ev.where("ord % 2 = 0").withColumn("seq", F.when(F.col("ord") % 4 == 0, F.lit(-1).cast("long")).otherwise(F.col("seq")))
+    ev = events(spark, d).select("session", "ord", F.col("tick").alias("ts"), F.col("cycle_id").alias("seq"), "event_type")
+    right = ev.where("event_type IN ('click', 'view')").withColumn("seq", F.when(F.col("event_type") == "view", F.lit(-1).cast("long")).otherwise(F.col("seq")))
     return A.key_then_asof(ev, right, ["session"], "seq", [], 24 * HOUR).select("session", "ord", A.none_as(F.col("m.ord")).alias("m_ord"))
 
 
@@ -175,9 +175,9 @@ def q13_pairs(spark, d):
     return pairs(spark, d)
 
 
-@query(EV + " SELECT session, b AS before, cycle_id AS after, cycle_id - b - 1 AS lost FROM (SELECT *, lag(cycle_id) OVER (PARTITION BY session ORDER BY ord) AS b FROM ev WHERE ord % 50 <> 0) WHERE cycle_id - b > 1")
+@query(EV + " SELECT session, b AS before, cycle_id AS after, cycle_id - b - 1 AS lost FROM (SELECT *, lag(cycle_id) OVER (PARTITION BY session ORDER BY ord) AS b FROM ev WHERE value NOT BETWEEN 100 AND 110) WHERE cycle_id - b > 1")
 def q14_sequence_gaps(spark, d):
-    return C.sequence_gaps(events(spark, d).where("ord % 50 <> 0"), ["session"], "cycle_id")
+    return C.sequence_gaps(events(spark, d).where("value NOT BETWEEN 100 AND 110"), ["session"], "cycle_id")
 
 
 @query(PAIRS + ", c AS (SELECT session, count(*) AS n FROM pa GROUP BY session), x AS (SELECT *, sum(n) OVER (ORDER BY session DESC) AS cum, sum(n) OVER () AS total, count(*) OVER () AS m, row_number() OVER (ORDER BY session DESC) AS r FROM c), y AS (SELECT *, sum(CASE WHEN cum < round_even(total * 0.15, 0) THEN 1 ELSE 0 END) OVER () + 1 AS k FROM x) SELECT session, n, CASE WHEN m >= 2 AND r <= least(greatest(k, 1), m - 1) THEN 'val' ELSE 'train' END AS split FROM y")
@@ -242,12 +242,6 @@ def q23_sidecar_explode(spark, d):
     return R.sidecar_frames(meta, ["event_id"]).select("event_id", "seq", "frame_index")
 
 
-@query('SELECT doc_id, "offset" FROM (SELECT doc_id, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM documents) WHERE "offset" + n_chars <= 100000')
-def q24_packet_offsets(spark, d):
-    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars", F.lit(100_000).alias("size"))
-    return C.packet_offsets(docs, ["source"], "n_chars", "size", "doc_id").select("doc_id", "offset")
-
-
 @query('SELECT doc_id, "offset" FROM (SELECT doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source) AS total, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM documents) WHERE "offset" + n_chars < total')
 def q37_packet_offsets_torn(spark, d):
     size = F.sum("n_chars").over(Window.partitionBy("source")) - 1
@@ -255,15 +249,15 @@ def q37_packet_offsets_torn(spark, d):
     return C.packet_offsets(docs, ["source"], "n_chars", "size", "doc_id").select("doc_id", "offset")
 
 
-@query(EV + " SELECT session, ord, CASE WHEN ord % 3 = 0 THEN -1 ELSE row_number() OVER (PARTITION BY session, ord % 3 = 0 ORDER BY ord) - 1 END AS position FROM ev")
+@query(EV + " SELECT session, ord, CASE WHEN event_type = 'error' THEN -1 ELSE row_number() OVER (PARTITION BY session, event_type = 'error' ORDER BY ord) - 1 END AS position FROM ev")
 def q25_compaction(spark, d):
-    return C.compacted(events(spark, d), ["session"], F.col("ord") % 3 != 0, "ord").select("session", "ord", "position")
+    return C.compacted(events(spark, d), ["session"], F.col("event_type") != "error", "ord").select("session", "ord", "position")
 
 
-@query(EV + ", a AS (SELECT session, ord, row_number() OVER (PARTITION BY session ORDER BY ord) - 1 AS p FROM ev WHERE ord % 3 <> 0), b AS (SELECT session, ord, row_number() OVER (PARTITION BY session ORDER BY ord) - 1 AS q FROM a WHERE p % 5 <> 0) SELECT e.session, e.ord, coalesce(q, -1) AS position FROM ev e LEFT JOIN b ON e.session = b.session AND e.ord = b.ord")
+@query(EV + ", a AS (SELECT session, ord, row_number() OVER (PARTITION BY session ORDER BY ord) - 1 AS p, value FROM ev WHERE event_type <> 'error'), b AS (SELECT session, ord, row_number() OVER (PARTITION BY session ORDER BY ord) - 1 AS q FROM a WHERE value >= 100) SELECT e.session, e.ord, coalesce(q, -1) AS position FROM ev e LEFT JOIN b ON e.session = b.session AND e.ord = b.ord")
 def q26_recompaction(spark, d):
-    first = C.compacted(events(spark, d), ["session"], F.col("ord") % 3 != 0, "ord")
-    decoded = (F.col("position") >= 0) & (F.col("position") % 5 != 0)
+    first = C.compacted(events(spark, d), ["session"], F.col("event_type") != "error", "ord")
+    decoded = (F.col("position") >= 0) & (F.col("value") >= 100)
     again = C.compacted(first.withColumn("_d", decoded).drop("position"), ["session"], F.col("_d"), "ord")
     return again.select("session", "ord", "position")
 
@@ -273,11 +267,6 @@ def q27_latent_std(spark, d):
     return L.latent_std(table(spark, d, "embeddings"), "embedding").select("dim", F.round("std", 5).alias("std"))
 
 
-@query("SELECT a.dim - 1 AS i, b.dim - 1 AS j, round(covar_samp(a.v, b.v), 5) + 0.0 AS cov FROM (SELECT vec_id, unnest(embedding[1:8])::DOUBLE AS v, unnest(range(1, 9)) AS dim FROM embeddings) a JOIN (SELECT vec_id, unnest(embedding[1:8])::DOUBLE AS v, unnest(range(1, 9)) AS dim FROM embeddings) b ON a.vec_id = b.vec_id AND a.dim < b.dim GROUP BY ALL")
-def q28_latent_cov(spark, d):
-    return L.latent_cov(table(spark, d, "embeddings"), "embedding", 0, 8).select("i", "j", (F.round("cov", 5) + 0.0).alias("cov"))
-
-
 @query("WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(1, 65)) AS dim FROM embeddings) SELECT a.dim - 1 AS i, b.dim - 1 AS j, round(covar_samp(a.v, b.v), 5) + 0.0 AS cov FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.dim < b.dim GROUP BY ALL")
 def q36_latent_cov_whole(spark, d):
     return L.latent_cov(table(spark, d, "embeddings"), "embedding", 0, 64).select("i", "j", (F.round("cov", 5) + 0.0).alias("cov"))
@@ -332,3 +321,94 @@ def q34_group_loss(spark, d):
 @query("SELECT count(DISTINCT ts) AS ticks, count(*) AS n FROM events")
 def q35_distinct_ticks(spark, d):
     return table(spark, d, "events").agg(F.countDistinct("ts").alias("ticks"), F.count("*").alias("n"))
+
+
+_MOUNTS = [(v, f) for v, frames in S.MOUNTS.items() for f in frames]
+_MOUNT_SQL = " UNION ALL ".join(f"SELECT '{v}' AS version, '{f}' AS frame, {a!r}::DOUBLE AS a, {b!r}::DOUBLE AS b, {c!r}::DOUBLE AS c, {e!r}::DOUBLE AS e, {x!r}::DOUBLE AS tx, {y!r}::DOUBLE AS ty" for v, frames in S.MOUNTS.items() for f, (a, b, c, e, x, y) in frames.items())
+
+
+@query(EV + f", p AS ({_XY}), m AS ({_MOUNT_SQL}) SELECT version, frame, count(*) AS n, round(sum((x::DOUBLE * a + y::DOUBLE * b + tx)::FLOAT::DOUBLE), 2) AS sx, round(sum((x::DOUBLE * c + y::DOUBLE * e + ty)::FLOAT::DOUBLE), 2) AS sy FROM p, m GROUP BY ALL")
+def q38_lidar_mounts(spark, d):
+    at = [(v, f, *S.to_robot(F.col("x"), F.col("y"), f, v)) for v, f in _MOUNTS]
+    rows = points(spark, d).select(F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.lit(f).alias("frame"), x.cast("double").alias("x"), y.cast("double").alias("y")) for v, f, x, y in at])).alias("m")).select("m.*")
+    return rows.groupBy("version", "frame").agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("sx"), F.round(F.sum("y"), 2).alias("sy"))
+
+
+_GROUPS = """WITH f AS (SELECT source, doc_id, n_chars, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS prev FROM documents WHERE n_chars > 0),
+z AS (SELECT source, sum(n_chars) - CASE WHEN source < 'source_1' THEN 1 ELSE 0 END AS actual FROM documents GROUP BY source),
+r AS (SELECT f.source, count(*) AS declared, sum(n_chars)::BIGINT AS bytes, any_value(actual)::BIGINT AS bytes_actual, sum(CASE WHEN doc_id - prev > 1 THEN 1 ELSE 0 END)::BIGINT AS gaps, sum(CASE WHEN doc_id - prev > 1 THEN doc_id - prev - 1 ELSE 0 END)::BIGINT AS lost,
+  min(CASE WHEN doc_id - prev > 1 THEN prev + 1 END) AS first_gap, sum(CASE WHEN n_chars > 4000 THEN 1 ELSE 0 END)::BIGINT AS undecodable FROM f JOIN z USING (source) GROUP BY f.source)"""
+
+
+def group_losses(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frames, those that a decoder gives nothing for, and the report: sources stand for groups, texts of over 4000 characters for broken packets."""
+    docs = table(spark, d, "documents").select("source", F.col("doc_id").alias("ord"), F.col("doc_id").alias("seq"), F.col("doc_id").alias("frame_index"), F.col("n_chars").alias("length"))
+    frames = docs.where("length > 0")
+    sizes = docs.groupBy("source").agg((F.sum("length") - F.when(F.col("source") < "source_1", 1).otherwise(0)).alias("size"))
+    bad = R.undecodable_packets(frames, frames.where("length <= 4000"), ["source"])
+    return frames, bad, R.group_report(frames, ["source"], sizes, bad)
+
+
+@query(_GROUPS + " SELECT source, declared, bytes, bytes_actual, gaps, lost, first_gap, undecodable, bytes <> bytes_actual AS truncated FROM r")
+def q39_group_report(spark, d):
+    return group_losses(spark, d)[2]
+
+
+@query(_GROUPS + " SELECT count(*) AS groups, count_if(gaps > 0)::BIGINT AS with_gaps, sum(lost)::BIGINT AS lost, count_if(bytes <> bytes_actual)::BIGINT AS truncated, round(sum(lost + undecodable) / sum(declared + lost) * 100, 6) AS net_percent FROM r")
+def q40_fleet_summary(spark, d):
+    return R.fleet_summary(group_losses(spark, d)[2]).withColumn("net_percent", F.round("net_percent", 6))
+
+
+@query(_GROUPS + " SELECT f.source, f.doc_id AS seq FROM f JOIN r USING (source) WHERE n_chars > 4000 AND f.doc_id >= first_gap")
+def q41_loss_cascade(spark, d):
+    _, bad, report = group_losses(spark, d)
+    return R.cascade(bad, report, ["source"]).select("source", "seq")
+
+
+@query(EV + f""", p AS (SELECT session, cycle_id, x, y, event_type FROM ({_XY.replace("ord,", "ord, cycle_id, event_type,")}) WHERE event_type <> 'error'),
+c AS (SELECT DISTINCT session, cycle_id, floor((x + 6::FLOAT) / 0.1::FLOAT)::INT AS r, floor((y + 6::FLOAT) / 0.1::FLOAT)::INT AS c FROM p WHERE event_type <> 'view'),
+k AS (SELECT session, cycle_id, count(*) AS n_cells, sum(r * 120 + c)::BIGINT AS sum_cells FROM c WHERE r BETWEEN 0 AND 119 AND c BETWEEN 0 AND 119 GROUP BY ALL)
+SELECT e.session, e.cycle_id, coalesce(n_cells, 0)::INT AS n_cells, coalesce(sum_cells, 0) AS sum_cells, coalesce(v, false) AS valid FROM (SELECT DISTINCT session, cycle_id FROM ev) e
+LEFT JOIN k USING (session, cycle_id) LEFT JOIN (SELECT DISTINCT session, cycle_id, true AS v FROM p) USING (session, cycle_id)""")
+def q42_bev(spark, d):
+    ev = events(spark, d).select("session", "cycle_id", "ord", "event_type")
+    point = F.array(F.struct("x", "y"))
+    scans = ev.join(points(spark, d), ["session", "ord"]).where("event_type <> 'error'")
+    scans = scans.withColumn("points", F.when(F.col("event_type") == "view", F.slice(point, 1, 0)).otherwise(point))  # a scan without a point is valid
+    out = R.bev(ev.select("session", "cycle_id").distinct(), scans, ["session", "cycle_id"])
+    return out.select("session", "cycle_id", F.size("cells").alias("n_cells"), F.aggregate("cells", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_cells"), "valid")
+
+
+@query(EV + f""", f AS (SELECT session, ord, tick AS ts, event_type FROM ev WHERE event_type IN ('click', 'error')),
+w AS (SELECT session, ord, tick - 1000 AS capture_us FROM ev WHERE event_type <> 'signup'),
+a AS (SELECT w.session, w.ord, capture_us, CASE WHEN capture_us - f.ts <= {24 * HOUR} THEN f.ord END AS fo, CASE WHEN capture_us - f.ts <= {24 * HOUR} THEN f.event_type = 'click' END AS ok FROM w ASOF LEFT JOIN f ON w.session = f.session AND capture_us >= f.ts),
+u AS (SELECT session, capture_us, row_number() OVER (PARTITION BY session ORDER BY capture_us) - 1 AS position FROM (SELECT DISTINCT session, capture_us FROM a WHERE coalesce(ok, false)))
+SELECT e.session, e.ord AS cycle_id, coalesce(position, -1) AS position FROM ev e LEFT JOIN a ON a.session = e.session AND a.ord = e.ord LEFT JOIN u ON u.session = a.session AND u.capture_us = a.capture_us""")
+def q43_camera_index(spark, d):
+    from .plans.store import camera_index
+
+    ev = events(spark, d)
+    kept = ev.select("session", F.lit(0).cast("long").alias("run_id"), F.col("ord").alias("cycle_id"))
+    roles = ev.select("session", F.lit(0).cast("long").alias("run_id"), F.col("ord").alias("cycle_id"), (F.col("event_type") != "signup").alias("present"), (F.col("tick") - 1000).alias("capture_us"))
+    frames = ev.where("event_type IN ('click', 'error')").select("session", F.col("tick").alias("ts"), "ord", (F.col("event_type") == "click").alias("decoded"))
+    return camera_index(kept, roles, frames, 24 * HOUR)[0].select("session", "cycle_id", "position")
+
+
+@query(EV + f""", f AS (SELECT session, tick AS ts FROM ev WHERE event_type = 'click') SELECT e.session, round(avg(CASE WHEN e.tick - f.ts <= {24 * HOUR} THEN 1.0 ELSE 0.0 END), 9) AS match_rate
+FROM ev e ASOF LEFT JOIN f ON e.session = f.session AND e.tick >= f.ts GROUP BY e.session""")
+def q44_match_rate(spark, d):
+    ev = events(spark, d).select("session", "ord", F.col("tick").alias("ts"), "event_type")
+    out = A.resolve_frames(ev.withColumnRenamed("ts", "capture_us"), ev.where("event_type = 'click'"), ["session"], 24 * HOUR)
+    return out.groupBy("session").agg(F.round(F.first("match_rate"), 9).alias("match_rate"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_quantity - m) / s, 6) AS l_quantity FROM lineitem, (SELECT avg(l_quantity) AS m, greatest(stddev_pop(l_quantity), 1e-6) AS s FROM lineitem)")
+def q45_normalised(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return C.normalised(rows, C.action_stats(rows, ["l_quantity"]), ["l_quantity"]).withColumn("l_quantity", F.round("l_quantity", 6))
+
+
+@query("SELECT p_partkey, CASE WHEN mm > 300 * s THEN 300 + greatest(4, 300 // 8) ELSE round_even(mm / s, 0)::INT END::INT AS units FROM (SELECT p_partkey, p_size AS s, (p_retailprice * 7)::INT AS mm FROM part)")
+def q46_quantise(spark, d):
+    mm = F.bround(F.col("p_retailprice") * 7).cast("int")
+    return table(spark, d, "part").select("p_partkey", S.quantise_depth(mm, F.col("p_size"), F.lit(300)).alias("units"))
