@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from tickloom.llm import components, jaccard, licenses, neighbours, pieces, quality, rans
+from tickloom.llm import words as wordcodes
 from tickloom.llm.fingerprints import edited_fingerprints
 from tickloom.llm.language import fit_languages, identify_languages
 from tickloom.llm.mixing import mix_sources
@@ -81,6 +82,33 @@ def test_substrings(docs):
     assert any(x[1] for x in got.values())
 
 
+def test_words_are_compared_byte_for_byte(spark):
+    a = "0"
+    while len(a) < 4096:  # polynomial hashes modulo 2^64 are equal for this word and its complement
+        a += a.translate(str.maketrans("01", "10"))
+    b = a.translate(str.maketrans("01", "10"))
+    same = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{same} {a}"), (2, f"{same} {b}"), (3, f"{same}  {a}\tx"), (2**63 - 1, f"{same} {b} y"), (None, f"{same} {b}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in dedup_substrings(df).collect()}
+    assert got == {1: (13, 0), 2: (13, 0), 3: (14, 13), 2**63 - 1: (14, 13), None: (13, 13)}
+    df = spark.createDataFrame([(1, f"p q r s {a}"), (2, f"p q r s {b}"), (3, f"p q r s {b}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()} == {1: 1, 2: 2, 3: 2}
+
+
+def test_codes_of_words_and_runs():
+    rng = random.Random(9)
+    for n in (1, 2, 5, 8, 13):
+        w = [rng.choice(["a", "bb", "日本", "c"]) for _ in range(300)]
+        buf = "".join(x + rng.choice([" ", "\n", " \t "]) for x in w).encode()
+        starts, ends, codes = wordcodes.word_codes(buf)
+        assert [buf[s:e].decode() for s, e in zip(starts, ends, strict=True)] == w
+        runs = wordcodes.run_codes(codes, n)
+        grams = [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
+        assert len(runs) == len(grams) and len(set(runs.tolist())) == len(set(grams)) == len(set(zip(runs.tolist(), grams, strict=True)))
+    assert len(wordcodes.word_codes(b"")[2]) == len(wordcodes.word_codes(b" \n")[2]) == len(wordcodes.run_codes(np.zeros(3, np.int64), 4)) == 0
+
+
 def test_fingerprints(docs):
     def canonical(x):
         nfkc = lambda y: unicodedata.normalize("NFKC", y)

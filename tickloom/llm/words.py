@@ -1,7 +1,9 @@
 """Vectorised word hashing over Arrow text buffers.
 
-Words are the runs of bytes outside ``\\x20`` and ``\\x09-\\x0D``. A word's hash is a polynomial of its bytes
-modulo 2^64, taken from prefix sums over the whole buffer and then mixed, so no Python object is made per word.
+Words are the runs of bytes outside ``\\x20`` and ``\\x09-\\x0D``. A short word's hash is a polynomial of its bytes
+modulo 2^64, taken from prefix sums over the whole buffer and then mixed, so no Python object is made per word. Such
+polynomials are equal for some pairs of words of 1024 bytes or more, whatever the base, so words above ``SHORT`` bytes
+are hashed one by one.
 """
 
 from __future__ import annotations
@@ -9,11 +11,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 #: Bytes hashed at once; bounds the temporary arrays to a few tens of MB.
 CHUNK = 1 << 20
+#: Bytes of the longest word that is hashed by its polynomial.
+SHORT = 64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _GRAM = 0xD6E8FEB86659FD93
@@ -46,8 +52,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _hash_chunk(buf: np.ndarray, at_start: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words of ``buf``; at_start: positions where a document begins."""
+def _hash_chunk(buf: np.ndarray, at_start: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of ``buf``; at_start: positions where a document begins."""
+    values = _LOWERED if lower else _KEPT
     word = _IS_WORD[buf]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -60,16 +67,18 @@ def _hash_chunk(buf: np.ndarray, at_start: np.ndarray, values: np.ndarray) -> tu
     sums = np.zeros(len(buf) + 1, U)
     np.cumsum(values[buf] * _power(_BASE, len(buf)), out=sums[1:])
     h = (sums[ends] - sums[starts]) * _power(_INVERSE, len(buf) + 1)[starts]
-    return starts, mix(h + (ends - starts).astype(U))
+    h = mix(h + (ends - starts).astype(U))
+    for k in np.flatnonzero(ends - starts > SHORT).tolist():
+        h[k] = xxhash.xxh3_64_intdigest((values[buf[starts[k] : ends[k]]] - U(1)).astype(np.uint8).tobytes())
+    return starts, ends, h
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the documents ``buf[offsets[i]:offsets[i+1]]``, and each document's bounds in them.
+def word_spans(buf: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of all words of the documents ``buf[offsets[i]:offsets[i+1]]``, and each document's bounds in them.
 
     lower: A-Z count as a-z. Long buffers are cut between words, so memory follows ``CHUNK``, not the text.
     """
-    values = _LOWERED if lower else _KEPT
-    found, hashes, at = [], [], 0
+    found, at = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))], 0
     while at < len(buf):
         end = min(at + CHUNK, len(buf))
         while end < len(buf):
@@ -79,13 +88,45 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.n
                 break
             end = min(end + CHUNK, len(buf))
         lo, hi = np.searchsorted(offsets, [at, end])
-        starts, h = _hash_chunk(buf[at:end], np.unique(offsets[lo:hi] - at).astype(np.int64), values)
-        found.append(starts + at)
-        hashes.append(h)
+        starts, ends, h = _hash_chunk(buf[at:end], np.unique(offsets[lo:hi] - at).astype(np.int64), lower)
+        found.append((starts + at, ends + at, h))
         at = end
-    starts = np.concatenate(found) if found else np.zeros(0, np.int64)
-    h = np.concatenate(hashes) if hashes else np.zeros(0, U)
-    return h, np.searchsorted(starts, offsets)
+    starts, ends, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    return h, starts, ends, np.searchsorted(starts, offsets)
+
+
+def word_hashes(buf: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and each document's bounds in them (see word_spans)."""
+    h, _, _, bounds = word_spans(buf, offsets, lower)
+    return h, bounds
+
+
+def word_codes(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a buffer, and a code for each, equal just where words are equal byte for byte."""
+    data = np.frombuffer(buf, np.uint8)
+    word = np.zeros(len(data) + 2, bool)
+    word[1:-1] = _IS_WORD[data]
+    starts, ends = np.flatnonzero(word[1:-1] & ~word[:-2]), np.flatnonzero(word[1:-1] & ~word[2:]) + 1
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.int64)
+    offsets = np.stack([starts, ends], 1).ravel()  # words and the gaps between them, in turn
+    both = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(buf)])
+    return starts, ends, both.dictionary_encode().indices.to_numpy()[::2].astype(np.int64)
+
+
+def run_codes(codes: np.ndarray, n: int) -> np.ndarray:
+    """A code for each run of n consecutive codes, equal just where all n are equal (the last n-1 entries have none)."""
+    if len(codes) < n:
+        return np.zeros(0, np.int64)
+
+    def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return pd.factorize(a * (int(b.max()) + 1) + b)[0]
+
+    size = 1
+    while size * 2 <= n:
+        codes = paired(codes[:-size], codes[size:])
+        size *= 2
+    return paired(codes[: len(codes) - (n - size)], codes[n - size :]) if size < n else codes
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
