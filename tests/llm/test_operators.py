@@ -138,6 +138,14 @@ def test_mixing(docs):
     assert sorted(got) == sorted(mix_sources(docs.repartition(7)).collect())
 
 
+def test_mixing_of_null_and_repeated_ids(spark):
+    rows = [(None if k % 2 else 7, " ".join(["w"] * (k % 9)) + f" t{k // 3}", "s", str(k)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    got = sorted((r.doc_id is None, r.tag, r.taken) for r in mix_sources(df).collect())
+    assert got == sorted((r.doc_id is None, r.tag, r.taken) for r in mix_sources(df.repartition(5)).collect())
+    assert sum(t for *_, t in got) == round(1.5 * sum(k % 9 + 1 for k in range(3000)))
+
+
 def test_units_of_text_give_the_ids_of_the_library():
     path = vocabulary("byte_bpe_50k.json")
     encoder, rng = UnitEncoder(path), random.Random(7)

@@ -1,8 +1,8 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-Documents get a random key from a hash of their id. Within a source they are range-sorted by key: hashes are uniform, so equal
-ranges of keys hold about equally many documents, and a source of any size is spread over as many ranges as it
-needs. Prefix sums of sizes are taken within ranges and over the ranges' totals. A source whose target is above its
+Documents get a random key from a hash of their id and text. Within a source they are range-sorted by key: hashes are uniform,
+so equal ranges of keys hold about equally many documents, and a source of any size is spread over as many ranges as it
+needs, also where ids are null or repeat. Prefix sums of sizes are taken within ranges and over the ranges' totals. A source whose target is above its
 size repeats whole epochs; in the last epoch documents are taken in key order, the last one in part, until the target is met.
 """
 
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .shared import prepare, stored
 
-#: Documents that one range of keys holds, about.
-RANGE_ROWS = 50_000
+#: Documents that one range of keys holds, about, or the root of its source's number if that is more; so a source of 10^10 has 10^5 ranges.
+RANGE_ROWS = 500
 #: Weights by source, repeating; share of all sizes to take; times a source may be taken.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 
@@ -51,18 +51,19 @@ def mix_sources(
     """For each row: its id, ``size``, ``source_size``, ``target`` (its source's) and ``taken``, and its text's hash ``tag``.
 
     size: words of the text (null: 0). taken: words that the mix takes of the document, counting repeats; a source's taken
-    words are its target, rounded. Ties of keys are broken by id, then size; rows equal in both are
+    words are its target, rounded. Keys are equal for rows equal in id and text, which are
     interchangeable. A null source is a source of its own and a null id an id like others. Sources of size 0 have target 0.
     """
     spark = docs.sparkSession
     prepare(spark)
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
+    said = lambda c: F.coalesce(c, F.lit("null"))
+    key = F.md5(F.concat(said(F.col(id_col).cast("string")), F.lit(":"), said(F.md5(F.col(text_col).cast("binary"))), F.lit(f":{seed}")).cast("binary"))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("tag"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"))
     rows = stored(rows, "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     targets = source_targets(sources.select("source", "source_size"), weights, share, most).withColumnsRenamed({"source": "_s", "source_size": "_z"})
     named = sources.join(targets, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_z")
-    named = named.withColumn("budget", F.round("target").cast("long")).withColumn("ranges", F.ceil(F.col("rows") / RANGE_ROWS))
+    named = named.withColumn("budget", F.round("target").cast("long")).withColumn("ranges", F.ceil(F.col("rows") / F.greatest(F.lit(float(RANGE_ROWS)), F.sqrt("rows"))))
     named = named.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(0))
     named = named.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "_s")
     # left to the planner: it broadcasts this side when its measured size allows, and else splits hot sources
@@ -83,7 +84,7 @@ def mix_sources(
 ORACLE = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         md5(concat(coalesce(doc_id::VARCHAR, 'null'), ':mix')) AS key
+         md5(concat(coalesce(doc_id::VARCHAR, 'null'), ':', coalesce(md5(text), 'null'), ':mix')) AS key
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w
