@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .shared import n_partitions, prepare, stored
 
-#: Ids up to this many are broadcast (16 bytes each); beyond it a shuffled join is used.
+#: Ids, or fingerprints, up to this many are broadcast (16 or 32 bytes each); beyond it a shuffled join is used.
 BROADCAST_IDS = 500_000
 
 
@@ -43,8 +43,9 @@ def _fingerprints(base: DataFrame) -> DataFrame:
     group that holds a third of all rows costs one text a task.
     """
     ids = stored(base.select("_id", "_tag", F.length("_text").cast("long").alias("n"), wide_digest(canonical_text(F.col("_text"))).alias("fp")), "digests")
-    several = ids.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
-    wanted = ids.join(several, "fp", "left_semi").select("_id", "_tag", "fp").distinct()
+    several = stored(ids.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"), "several")
+    # a written side lets the planner split a hot fingerprint where the join is shuffled
+    wanted = ids.join(F.broadcast(several) if several.count() <= BROADCAST_IDS else several, "fp", "left_semi").select("_id", "_tag", "fp").distinct()
     wanted = stored(wanted, "grouped")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = _with(base, side).select("fp", canonical_text(F.col("_text")).alias("canon"))
