@@ -57,10 +57,23 @@ def roots(ids, links):
     return {i: f(i) for i in ids}
 
 
-@pytest.mark.parametrize("long, cluster", [(48, 32_768), (2, 2)])
-def test_jaccard(docs, monkeypatch, long, cluster):
+def test_search_of_a_block():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        base = [rng.integers(0, 400, rng.integers(1, 60)) for _ in range(4)]
+        sets = []
+        for _ in range(rng.integers(1, 30)):
+            x = base[rng.integers(0, 4)]
+            sets.append(np.unique(np.r_[x[rng.random(len(x)) < 0.93], rng.integers(0, 400, rng.integers(0, 4)), x[:1]]).astype(np.uint64))
+        near = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(inter := np.intersect1d(sets[i], sets[j])) >= 75 * (len(sets[i]) + len(sets[j]) - len(inter))]
+        found = jaccard.cluster_links(sets, 75)
+        assert {tuple(sorted(x)) for x in found} <= set(near) and roots(range(len(sets)), found) == roots(range(len(sets)), near)
+
+
+@pytest.mark.parametrize("long, block", [(48, 256), (2, 2)])
+def test_jaccard(docs, monkeypatch, long, block):
     monkeypatch.setattr(jaccard, "LONG", long)
-    monkeypatch.setattr(jaccard, "CLUSTER", cluster)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     sets = {}
     for i, x, *_ in corpus():
         w = words(re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
@@ -143,7 +156,7 @@ def test_mixing_of_null_and_repeated_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
     got = sorted((r.doc_id is None, r.tag, r.taken) for r in mix_sources(df).collect())
     assert got == sorted((r.doc_id is None, r.tag, r.taken) for r in mix_sources(df.repartition(5)).collect())
-    assert sum(t for *_, t in got) == round(1.5 * sum(k % 9 + 1 for k in range(3000)))
+    assert sum(t for *_, t in got) == int(1.5 * sum(k % 9 + 1 for k in range(3000)) + 0.5)
 
 
 def test_units_of_text_give_the_ids_of_the_library():
