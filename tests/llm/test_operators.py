@@ -57,7 +57,10 @@ def roots(ids, links):
     return {i: f(i) for i in ids}
 
 
-def test_search_of_a_block():
+@pytest.mark.parametrize("merged, probes", [(4096, 8), (0, 0), (4096, 0), (0, 10**9), (10**9, 10**9)])
+def test_search_of_a_block(monkeypatch, merged, probes):
+    monkeypatch.setattr(jaccard, "MERGED", merged)
+    monkeypatch.setattr(jaccard, "PROBES", probes)
     rng = np.random.default_rng(4)
     for _ in range(60):
         base = [rng.integers(0, 400, rng.integers(1, 60)) for _ in range(4)]
@@ -70,10 +73,11 @@ def test_search_of_a_block():
         assert {tuple(sorted(x)) for x in found} <= set(near) and roots(range(len(sets)), found) == roots(range(len(sets)), near)
 
 
-@pytest.mark.parametrize("long, block", [(48, 256), (2, 2)])
-def test_jaccard(docs, monkeypatch, long, block):
+@pytest.mark.parametrize("long, block, cluster", [(48, 512, 32_768), (2, 2, 32_768), (2, 2, 2)])
+def test_jaccard(docs, monkeypatch, long, block, cluster):
     monkeypatch.setattr(jaccard, "LONG", long)
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "CLUSTER", cluster)
     sets = {}
     for i, x, *_ in corpus():
         w = words(re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
