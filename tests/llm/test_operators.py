@@ -255,6 +255,7 @@ def test_licenses(docs, spark):
     index = licenses.TemplateIndex(licenses.TEMPLATES, {b"the": 9, b"license": 5}, 0.85)
     rng = random.Random(1)
     pool = licenses.words_of(" ".join(t for _, t in licenses.TEMPLATES)) + [b"other"] * 20
+    tried = 0
     for _ in range(40):
         w = [rng.choice(pool) for _ in range(100)] + licenses.words_of(rng.choice(licenses.TEMPLATES)[1])
         want = set()
@@ -265,6 +266,22 @@ def test_licenses(docs, spark):
                 if len(block & t) >= 0.85 * len(t) - 1e-9:
                     want.add((s, label, len(block & t) / len(t)))
         assert set(index.find(w)) == want
+        stop = [index.filtered(sorted({index.rank[x] for x in w[s : s + 64] if x in index.rank}), licenses.STRIDE) for s in range(0, len(w), 32)]
+        tried += sum(map(len, stop))
+    assert 0 < tried < 40 * 4 * len(licenses.TEMPLATES)  # not all are counted
+    ten = licenses.TemplateIndex([("x", "a b c d e f g h i j")], {}, 0.8)  # one of the first three words must be met, with eight left
+    assert [bool(ten.filtered(sorted(ten.rank[w.encode()] for w in words), licenses.STRIDE)) for words in ("abcdefgh", "cdefghij", "bdefghij", "adefghi", "defghij")] == [True, True, True, False, False]
+    rows = [(k, " ".join(rng.choice(["mit", "MIT", "license", "apache", "General", "public", "x", "-", "licence,", "é"]) for _ in range(rng.randrange(60)))) for k in range(300)]
+    rows += [(None, "mit license"), (None, "mit license"), (900, "mit license " * 20_000), (901, "")]
+    got = licenses.scan_licenses(spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, labels string, score int")).collect()
+    assert len(got) == len(rows)
+    seen = Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got)
+    want = Counter()
+    for k, text in rows:
+        w = [x.decode() for x in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))]
+        at = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        want[k, len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))] += 1
+    assert seen == want
     df = spark.createDataFrame([(1, "x MIT\nLicense, general public-license mit license"), (2, None)], "doc_id long, text string")
     a, b = licenses.scan_licenses(df).orderBy("doc_id").collect()
     assert (a.n_words, a.n_base, a.first_word, a.last_word, a.base_labels) == (8, 3, 1, 6, "gpl,mit") and (b.n_words, b.n_base, b.first_word, b.labels, b.score) == (0, 0, None, "", 0.0)

@@ -1,9 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 A block is ``BLOCK`` words, a new one every ``STRIDE``, so that whatever is up to STRIDE + 1 words long lies inside one. Longer
-templates have blocks of their own, as far apart as they are long less a word, and twice that wide. A template T is found in a block B if |B & T| >= threshold * |T| over distinct words. Words are ordered by how many
-documents hold them; a block that reaches the overlap o must hold one of T's first |T| - o + 1 words in that order (prefix
-filter), have o distinct words (length filter), and after T's i-th word enough words must be left (positional filter).
+templates have blocks of their own, as far apart as they are long less a word, and twice that wide. A template T is found in
+a block B if |B & T| >= threshold * |T| = o over distinct words. Words of templates are ordered by how many documents hold
+them, rarest first, and both sets by that order; other words count for nothing. A block that reaches o must have o words
+(length filter), one of its first |B| - o + 1 words must be one of T's first |T| - o + 1 (prefix filter), and where they meet,
+at places j and i, the words met before and those left, min(|T| - i, |B| - j), must reach o (positional filter).
 Templates are few and fixed, so their index is sent to every task and documents never move.
 """
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare
+from .shared import prepare, worker
 
 BLOCK, STRIDE, THRESHOLD = 64, 32, 0.85
 
@@ -71,52 +73,60 @@ def places(words: list[bytes], phrase: list[bytes]) -> list[int]:
 
 
 class TemplateIndex:
-    """Templates as word sets in a global order, with postings of their prefixes."""
+    """Templates as sets of ranks in a global order of words, with postings of their prefixes."""
 
     def __init__(self, templates, counts: dict[bytes, int], threshold: float) -> None:
-        self.threshold = threshold
-        self.sets = [(label, sorted(set(words_of(text)), key=lambda w: (counts.get(w, 0), w))) for label, text in templates]
+        vocabulary = {w for _, text in templates for w in words_of(text)}
+        self.rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
+        self.sets = [(label, sorted({self.rank[w] for w in words_of(text)})) for label, text in templates]
         self.need = [ceil(threshold * len(t) - 1e-9) for _, t in self.sets]
         #: Postings by the stride of their templates' blocks.
-        self.postings: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+        self.postings: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for k, ((_, t), (_, text)) in enumerate(zip(self.sets, templates, strict=True)):
             mine = self.postings.setdefault(max(STRIDE, len(words_of(text)) - 1), {})
-            for i, w in enumerate(t[: len(t) - self.need[k] + 1]):
-                mine.setdefault(w, []).append((k, i))
+            for i, r in enumerate(t[: len(t) - self.need[k] + 1]):
+                mine.setdefault(r, []).append((k, i))
         self.whole = [frozenset(t) for _, t in self.sets]
-        self.prefixes = {stride: frozenset(mine) for stride, mine in self.postings.items()}
+        self.least = {stride: min(self.need[k] for rows in mine.values() for k, _ in rows) for stride, mine in self.postings.items() if mine}
 
     def find(self, words: list[bytes]) -> list[tuple[int, str, float]]:
         """Every (start of block, label, containment) at or above the threshold, for all templates."""
+        ranks = list(map(self.rank.get, words))
+        held = set(ranks)
         out = []
-        for stride in sorted(self.postings):
-            out += self._find(words, stride, BLOCK if stride == STRIDE else 2 * stride)
+        for stride in sorted(self.least):
+            if not held.isdisjoint(self.postings[stride]):
+                out += self._find(ranks, stride, BLOCK if stride == STRIDE else 2 * stride)
         return sorted(out, key=lambda b: b[0]) if len(self.postings) > 1 else out
 
-    def _find(self, words: list[bytes], stride: int, width: int) -> list[tuple[int, str, float]]:
+    def filtered(self, block: list[int], stride: int) -> list[int]:
+        """The templates that pass all filters in a block's sorted ranks."""
+        postings, least, n = self.postings[stride], self.least[stride], len(block)
+        met: dict[int, int] = {}
+        for j, r in enumerate(block[: max(0, n - least + 1)]):
+            for k, i in postings.get(r, ()):
+                need, before = self.need[k], met.get(k, 0)
+                if before < 0 or j > n - need:
+                    continue
+                met[k] = before + 1 if before + min(len(self.sets[k][1]) - i, n - j) >= need else -1
+        return [k for k, c in met.items() if c > 0]
+
+    def _find(self, ranks: list[int | None], stride: int, width: int) -> list[tuple[int, str, float]]:
         """The finds of templates whose blocks are ``stride`` words apart."""
         postings = self.postings[stride]
-        hot = self.prefixes[stride].intersection(words)
-        if not hot:
-            return []
         starts = set()
-        for i, w in enumerate(words):
-            if w in hot:
+        for i, r in enumerate(ranks):
+            if r in postings:
                 starts.update(range(max(0, (i - width) // stride + 1) * stride, i + 1, stride))
         out = []
         for s in sorted(starts):
-            block = frozenset(words[s : s + width])
-            seen = set()
-            for w in block & hot:
-                for k, i in postings[w]:
-                    if k in seen or len(block) < self.need[k]:
-                        continue
-                    if len(self.sets[k][1]) - i < self.need[k]:
-                        continue  # w is the first common word only if all before are absent; then too few are left
-                    seen.add(k)
-                    common = len(block & self.whole[k])
-                    if common >= self.need[k]:
-                        out.append((s, self.sets[k][0], common / len(self.whole[k])))
+            block = frozenset(ranks[s : s + width]) - {None}
+            if len(block) < self.least[stride]:
+                continue
+            for k in sorted(self.filtered(sorted(block), stride)):
+                common = len(block & self.whole[k])
+                if common >= self.need[k]:
+                    out.append((s, self.sets[k][0], common / len(self.whole[k])))
         return out
 
 
@@ -130,7 +140,7 @@ def _counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
                 got.update(vocabulary.intersection(words_of(t)))
         yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.binary()), pa.array(list(got.values()), pa.int64())], names=["w", "c"])
 
-    rows = docs.mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c")).collect()
+    rows = docs.mapInArrow(worker(run), "w binary, c long").groupBy("w").agg(F.sum("c").alias("c")).collect()
     return {bytes(r["w"]): r["c"] for r in rows}
 
 
@@ -171,4 +181,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kind = base.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<start: long, label: string, containment: double>>"
-    return base.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return base.mapInArrow(worker(run), schema).withColumnRenamed("_id", id_col)
