@@ -181,7 +181,11 @@ def test_units_of_text_give_the_ids_of_the_library():
     check(rng.sample(range(len(texts)), len(texts)), 0)  # again, from what is remembered, in another order
     for k in (0, 1, len(texts) - 1):
         check([k], 0)
-    assert not any(c.isspace() for unit in encoder.known for c in unit[1:])
+    assert not any(c.isspace() for unit in encoder.known.young for c in unit[1:])
+    encoder.known.half = 50  # what is forgotten and found again changes nothing
+    for k in range(0, len(texts), 700):
+        check(range(k, min(k + 900, len(texts))), 0)
+    assert len(encoder.known.young) < 50
     assert len(encoder.encode(pa.array([], pa.string()))[1]) == 0
 
 
@@ -217,6 +221,9 @@ def test_pieces(docs):
     texts = [x for _, x, *_ in corpus()] + ["a  b\nc ﬁ é  ", " lead", "\n\n日本語 <s> </s>", "aaaa  aaaaaaaa", "\t\ttab"]
     for x, ids in zip(texts, model.encode(texts), strict=True):
         assert ids.tolist() == lib.encode(x or "") and model.decode(ids) == (x or "")
+    model.known.half = 20
+    for k in range(0, len(texts), 30):
+        assert [x.tolist() for x in model.encode(texts[k : k + 40])] == [lib.encode(x or "") for x in texts[k : k + 40]]
     assert all(r.round_trip for r in pieces.encode_pieces(docs, path).collect())
 
 

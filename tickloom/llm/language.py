@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import held_out
-from .shared import prepare, shared_folder
+from .shared import prepare, shared_folder, worker
 
 DIM, GRAM, SEED = 512, 3, 20_011
 #: Training texts for each language at most, chosen by a hash of their id.
@@ -119,7 +119,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["lang", "v"])
 
     total: dict[str, np.ndarray] = {}
-    for r in chosen.repartition(16).mapInArrow(bundled, "lang string, v binary").toLocalIterator():  # 16 vectors a language at most
+    for r in chosen.repartition(16).mapInArrow(worker(bundled, "languages"), "lang string, v binary").toLocalIterator():  # 16 vectors a language at most
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["v"], np.float64)
     unit = {k: v / max(np.linalg.norm(v), 1e-9) for k, v in sorted(total.items())}
     return {k: v.astype(np.float32) for k, v in unit.items()}
@@ -147,4 +147,4 @@ def identify_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], text_
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*b.schema.names, "lang_pred", "score"])
 
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(worker(run, "languages"), schema)

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-A batch's text is indexed at once: the suffixes of its distinct stretches are sorted (up to the longest piece's length), every
-piece is looked up by binary search, which gives the range of suffixes that begin with it, and the resulting edges (place,
+A batch's text is indexed at once: its distinct stretches, but for those matched lately, are laid end to end and their suffixes
+are sorted (up to the longest piece's length), every piece is looked up by binary search, which gives the range of suffixes that begin with it, and the resulting edges (place,
 end, piece) are sorted by position. Relaxation then finds each stretch's pieces:
 
 * unigram models: the best path, relaxing edges from left to right;
@@ -17,14 +17,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare
+from .shared import Memo, prepare, worker
 
 SPACE = "▁"
 #: Stretches of text whose pieces a worker remembers, and the longest that is worth it.
@@ -76,7 +75,7 @@ class PieceModel:
         self.lengths = np.array([len(p) for p in self.searched], np.int64)
         self.low, self.high = (np.array([self._key(p, fill) for p in self.searched], f"S{2 * self.width}") for fill in (b"\0\0", b"\xff\xff"))
         self.is_bpe = self._looks_like_bpe(m)
-        self.known: dict[str, bytes] = {}
+        self.known = Memo(REMEMBERED)
 
     @staticmethod
     def _looks_like_bpe(m) -> bool:
@@ -198,20 +197,23 @@ class PieceModel:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; null and empty texts have none. A dummy space goes before a text, spaces are kept."""
-        get = self.known.get
+        get = self.known.young.get
         split, missing = [], {}
         for t in texts:
             parts = self.stretch.findall(SPACE + t.replace(" ", SPACE)) if t else []
             got = list(map(get, parts))
             if None in got:
                 missing.update((p, None) for p, g in zip(parts, got, strict=True) if g is None)
-                split.append(parts)
+                split.append((parts, got))
             else:
                 split.append(b"".join(got))
-        found = dict(zip(missing, self.match(list(missing)), strict=True)) if missing else {}
-        out = [x if isinstance(x, bytes) else b"".join([get(p) or found[p] for p in x]) for x in split]
-        if len(self.known) < REMEMBERED:
-            self.known.update((p, v) for p, v in found.items() if len(p) <= LONGEST)
+        if missing:
+            missing = dict(zip(missing, self.known.revived(list(missing)), strict=True))
+            new = [p for p, v in missing.items() if v is None]
+            found = dict(zip(new, self.match(new), strict=True))
+            missing.update(found)
+            self.known.add({p: v for p, v in found.items() if len(p) <= LONGEST})
+        out = [x if isinstance(x, bytes) else b"".join([missing[p] if g is None else g for p, g in zip(*x, strict=True)]) for x in split]
         return [np.frombuffer(x, np.int32) for x in out]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -227,12 +229,6 @@ class PieceModel:
         return self._texts
 
 
-@cache
-def piece_model(path: str) -> PieceModel:
-    """The model of a file, once for each worker."""
-    return PieceModel(path)
-
-
 def encode_pieces(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """Adds to the columns of ``docs``, in place of any so named: ``ids`` (of the whole text), ``n_pieces``, ``ids_crc32`` (of the ids
     as little-endian unsigned 32-bit integers) and ``round_trip`` (whether decoding them gives the text back).
@@ -242,8 +238,7 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text") -> DataFr
     prepare(docs.sparkSession)
     docs = docs.drop("ids", "n_pieces", "ids_crc32", "round_trip")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = piece_model(model)
+    def run(batches: Iterator[pa.RecordBatch], m: PieceModel) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(text_col).to_pylist()
             got = m.encode(texts)
@@ -254,7 +249,7 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([*b.columns, lists, n, crc, same], names=[*b.schema.names, "ids", "n_pieces", "ids_crc32", "round_trip"])
 
     schema = docs.select("*", F.array(F.lit(0)).alias("ids"), F.lit(0).cast("long").alias("n_pieces"), F.lit(0).cast("long").alias("ids_crc32"), F.lit(True).alias("round_trip")).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(worker(run, "pieces", PieceModel, model), schema)
 
 
 def decode_pieces(encoded: DataFrame, model: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -262,10 +257,9 @@ def decode_pieces(encoded: DataFrame, model: str, ids_col: str = "ids", text_col
     prepare(encoded.sparkSession)
     encoded = encoded.drop(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = piece_model(model)
+    def run(batches: Iterator[pa.RecordBatch], m: PieceModel) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [None if x is None else m.decode(np.array(x, np.int32)) for x in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, text_col])
 
-    return encoded.mapInArrow(run, encoded.select("*", F.lit("").alias(text_col)).schema)
+    return encoded.mapInArrow(worker(run, "pieces", PieceModel, model), encoded.select("*", F.lit("").alias(text_col)).schema)

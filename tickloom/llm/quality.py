@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import prepare
+from .shared import prepare, worker
 
 #: Labelled rows that the model is fitted on at most, chosen by a hash of their id.
 TRAIN_ROWS = 20_000
@@ -171,7 +171,7 @@ def held_out(id_col: str, modulus: int, remainder: int) -> F.Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> AdditiveModel:
-    """Fits the model on at most ``rows`` labelled rows that are not held out. Of repeated labels the least counts."""
+    """Fits the model on at most ``rows`` labelled ids that are not held out, and at most twice as many documents (ids may repeat). Of repeated labels the least counts."""
     prepare(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)")
     marked = marked.groupBy("_id").agg(F.min("_y").alias("_y")).where(~held_out("_id", 5, 0))
@@ -183,7 +183,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             x = [features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([np.array(v).tobytes() for v in x], pa.binary()), b.column(1), b.column(2)], names=["x", "y", "i"])
 
-    got = texts.select("_text", "_y", F.xxhash64("_id", "_text")).mapInArrow(run, "x binary, y int, i long").orderBy("i").limit(2 * rows).toPandas()
+    got = texts.select("_text", "_y", F.xxhash64("_id", "_text")).mapInArrow(worker(run, "quality"), "x binary, y int, i long").orderBy("i").limit(2 * rows).toPandas()
     x = np.frombuffer(b"".join(got["x"]), np.float64).reshape(-1, len(FEATURES))
     return AdditiveModel(x, got["y"].to_numpy(np.float64))
 
@@ -200,4 +200,4 @@ def score_quality(docs: DataFrame, model: AdditiveModel, text_col: str = "text",
             x = np.array([features(t) for t in b.column(text_col).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score(x))], names=[*b.schema.names, score_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return docs.mapInArrow(worker(run, "quality"), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))

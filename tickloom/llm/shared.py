@@ -56,6 +56,30 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Memo:
+    """Remembers values by key; of ``most`` at most, those asked for lately. A value is never None.
+
+    Keys are kept in two halves. When the young half is full it becomes the old one, which is let go of, and keys found in the
+    old half become young again. So a worker that has seen much remembers as well as one that has seen little.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.half = max(1, most // 2)
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def revived(self, keys: list) -> list:
+        """The values of keys that are not young, None where they are not known."""
+        found = list(map(self.old.get, keys))
+        self.add({k: v for k, v in zip(keys, found, strict=True) if v is not None})
+        return found
+
+    def add(self, values: dict) -> None:
+        self.young.update(values)
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+
+
 #: What a Python worker keeps from task to task: of one operator at a time.
 _kept: dict[tuple, object] = {}
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .shared import n_partitions, prepare, shared_folder, worker
+from .shared import Memo, n_partitions, prepare, shared_folder, worker
 from .words import text_slices
 
 SEGMENT = 1 << 22
@@ -78,7 +78,8 @@ class UnitEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
+        self.known = Memo(REMEMBERED)
+        self.marks: dict[str, bytes] = {"": b""}
         # in a byte-level vocabulary each character of a token stands for one byte of text
         self.n_bytes = np.array([len(self.library.id_to_token(k) or "") for k in range(self.library.get_vocab_size())], np.int64)
 
@@ -98,14 +99,15 @@ class UnitEncoder:
 
     def _remembered(self, units: list[str]) -> list[bytes]:
         """The ids of distinct units, each beginning with a space or a line break."""
-        got = list(map(self.known.get, units))
+        got = list(map(self.known.young.get, units))
         missing = [k for k, g in enumerate(got) if g is None]
         if missing:
-            found = self._encode_units([units[k] for k in missing])
-            for k, ids in zip(missing, found, strict=True):
+            for k, ids in zip(missing, self.known.revived([units[k] for k in missing]), strict=True):
                 got[k] = ids
-            if len(self.known) < REMEMBERED:
-                self.known.update((units[k], got[k]) for k in missing)
+            missing = [k for k in missing if got[k] is None]
+            for k, ids in zip(missing, self._encode_units([units[k] for k in missing]), strict=True):
+                got[k] = ids
+            self.known.add({units[k]: got[k] for k in missing})
         return got
 
     def _units(self, units: pa.Array, whole: list[bytes], end: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -145,12 +147,10 @@ class UnitEncoder:
 
     def _tails(self, tails: list[str]) -> list[bytes]:
         """The ids of marks, which follow a letter or digit and so have no space before them."""
-        known = [self.known.get("\x0b" + t) if t else b"" for t in tails]
-        new = [t for t, g in zip(tails, known, strict=True) if g is None]
-        found = dict(zip(new, self._encode_whole(new), strict=True)) if new else {}
-        if len(self.known) < REMEMBERED:
-            self.known.update(("\x0b" + t, ids) for t, ids in found.items())
-        return [found[t] if g is None else g for t, g in zip(tails, known, strict=True)]
+        for t in tails:
+            if t not in self.marks:
+                self.marks[t] = self._encode_whole([t])[0]
+        return [self.marks[t] for t in tails]
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has; null and empty texts have none but ``end``, if given."""
