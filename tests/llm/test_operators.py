@@ -12,9 +12,10 @@ import pytest
 from tickloom.llm import components, jaccard, licenses, neighbours, pieces, quality, rans
 from tickloom.llm import words as wordcodes
 from tickloom.llm.fingerprints import edited_fingerprints
-from tickloom.llm.language import fit_languages, identify_languages
+from tickloom.llm.language import DIM, fit_languages, identify_languages, letter_vector, text_vectors
 from tickloom.llm.mixing import mix_sources
 from tickloom.llm.queries import vocabulary
+from tickloom.llm.shared import Memo
 from tickloom.llm.substrings import dedup_substrings
 from tickloom.llm.token_files import UnitEncoder, new_path, read_tokens, write_tokens
 
@@ -182,7 +183,7 @@ def test_units_of_text_give_the_ids_of_the_library():
     for k in (0, 1, len(texts) - 1):
         check([k], 0)
     assert not any(c.isspace() for unit in encoder.known.young for c in unit[1:])
-    encoder.known.half = 50  # what is forgotten and found again changes nothing
+    encoder.known = Memo(100)  # what is forgotten and found again changes nothing
     for k in range(0, len(texts), 700):
         check(range(k, min(k + 900, len(texts))), 0)
     assert len(encoder.known.young) < 50
@@ -221,7 +222,7 @@ def test_pieces(docs):
     texts = [x for _, x, *_ in corpus()] + ["a  b\nc ﬁ é  ", " lead", "\n\n日本語 <s> </s>", "aaaa  aaaaaaaa", "\t\ttab"]
     for x, ids in zip(texts, model.encode(texts), strict=True):
         assert ids.tolist() == lib.encode(x or "") and model.decode(ids) == (x or "")
-    model.known.half = 20
+    model.known = Memo(40)
     for k in range(0, len(texts), 30):
         assert [x.tolist() for x in model.encode(texts[k : k + 40])] == [lib.encode(x or "") for x in texts[k : k + 40]]
     assert all(r.round_trip for r in pieces.encode_pieces(docs, path).collect())
@@ -239,6 +240,12 @@ def test_vectors(spark):
     np.fill_diagonal(close, False)
     found = sum(got[k].n_links for k in range(300))
     assert 0.9 * close.sum() <= found <= close.sum() and all(got[k].n_links <= close[k].sum() for k in range(300))
+    want = roots(range(300), [(int(i), int(j)) for i, j in zip(*np.nonzero(close), strict=True)])
+    assert all(want[got[k].component_id] == want[k] and got[k].kept == (got[k].component_id == k) for k in range(300))
+    assert sum(got[k].component_id == want[k] for k in range(300)) >= 0.9 * 300
+    more = [(7, [1.0, 0.0], "clash"), (7, [1.0, 0.0], "clash"), (None, [2.0, 0.0], None), (9, [1.0, 0.1], ""), (None, None, ""), (3, [1.0, 0.0, 0.0], "")]
+    out = neighbours.near_vectors(spark.createDataFrame(more, "vec_id long, embedding array<double>, n_links string")).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in out) == Counter({(7, 3, 7): 2, (None, 3, 7): 1, (9, 3, 7): 1, (None, 0, None): 1, (3, 0, 3): 1})
     assert all(got[k].n_links == 0 and got[k].kept for k in range(300, 305))
 
 
@@ -304,6 +311,54 @@ def test_models(spark, docs):
     assert {r.lang_pred for r in identify_languages(docs.where("doc_id IN (500, 501, 502)").select("doc_id", "text"), fit_languages(real)).collect()} == {"und"}
 
 
+def test_additive_scores_by_row(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(400, 5)), 1)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    model = quality.AdditiveModel(x, y)
+    for row, score in zip(x[:50], model.score(x[:50]), strict=True):
+        z = model.base
+        for f, edges in enumerate(model.edges):
+            z += model.tables[f][sum(row[f] >= e for e in edges)]
+        for (a, b), table in model.pairs.items():
+            z += table[sum(row[a] >= e for e in model.grid[a]), sum(row[b] >= e for e in model.grid[b])]
+        assert score == pytest.approx(1 / (1 + np.exp(-z)))
+    assert ((model.score(x) > 0.5) == (y > 0.5)).mean() > 0.9 and model.pairs
+    rows = [(1, "a b c", 9.0, "x"), (1, "a b c", 9.0, "x"), (None, None, None, None), (2, "word " * 200_000, 1.0, None), (3, "", None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, quality string")
+    model = quality.AdditiveModel(np.array([quality.features(t) for t in ("a b", "a b", "!!! ###", "") for _ in range(20)]), np.repeat([1.0, 1.0, 0.0, 0.0], 20))
+    got = quality.score_quality(docs, model).collect()
+    want = {t: float(model.score(np.array([quality.features(t)]))[0]) for _, t, *_ in rows}
+    assert len(got) == 5 and all(r.score == pytest.approx(want[r.text]) and 0 <= r.score <= 1 for r in got)
+
+
+def test_bundles_by_letter(spark):
+    def brute(text):
+        letters = re.findall(r"[^\W\d_]+", text.lower())
+        codes = [0, *(c for w in letters for c in [*map(ord, w), 0])]
+        if not letters or not text[-1:].isalpha():
+            codes = codes if letters else []
+        else:
+            codes = codes[:-1]
+        out = np.zeros(DIM)
+        for k in range(len(codes) - 2):
+            a, b, c = (letter_vector(x) for x in codes[k : k + 3])
+            out += np.roll(a, 2) * np.roll(b, 1) * c
+        return out / max(np.linalg.norm(out), 1e-9)
+
+    texts = ["one two", "Ein Öl, und 3 mehr!", "日本語のテキスト", "a", "", None, "12 3", "x y z. ", "mixed ÄÖ words " * 40]
+    got = text_vectors(texts)
+    for t, v in zip(texts, got, strict=True):
+        assert np.allclose(v, brute(t or ""), atol=1e-4), t
+    assert np.allclose(text_vectors(["ab cd " * 100_000])[0], text_vectors(["ab cd " * 50])[0], atol=1e-2)
+    docs = spark.createDataFrame([(1, "aaa bbb", "x", 1), (2, "ccc ddd", "y", 1), (3, "ccc aaa", None, 2), (None, "aaa", "x", 3), (1, "aaa bbb", "x", 1), (4, None, "y", 0)], "doc_id long, text string, lang string, score int")
+    out = identify_languages(docs, fit_languages(docs)).collect()
+    assert len(out) == 6 and all(0 <= r.score <= 1 for r in out) and [r.lang_pred for r in out if r.text is None] == ["und"]
+    assert {r.lang_pred for r in out if r.text == "aaa bbb"} == {"x"}
+    same = {"b": np.ones(DIM, np.float32), "a": np.ones(DIM, np.float32)}
+    assert {r.lang_pred for r in identify_languages(docs.where("text IS NOT NULL"), same).collect()} == {"a"}  # a tie goes to the first
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     path = new_path(spark)
