@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, contract
-from .shared import n_partitions, prepare, stored
+from .shared import n_partitions, prepare, stored, worker
 
-#: Recall of pairs at cosine 0.9 in 64 dimensions is about 0.98 with these; more vectors than some 10^8 want more HASHES and TABLES.
+#: Recall of pairs at cosine 0.9 in 64 dimensions is about 0.98 with these.
 TABLES, HASHES, PROBES, SEED = 6, 3, 4, 77
+#: Vectors that ``HASHES`` vertices serve; each further vertex serves ``PER_HASH`` times as many, and asks for ``MORE`` times the tables,
+#: as pairs at the limit agree in a vertex less often than not. So buckets grow far more slowly than their number.
+SERVED, PER_HASH, MORE = 100_000_000, 64, 1.7
 SPLIT = 2048
 #: Bucket entries, and pairs found, that a task verifies together.
 HELD_ROWS, HELD_PAIRS = 16_384, 1_000_000
@@ -43,6 +47,14 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def shape_for(vectors: int) -> tuple[int, int]:
+    """Tables and hashes for this number of vectors."""
+    extra = 0
+    while vectors > SERVED * PER_HASH**extra:
+        extra += 1
+    return ceil(TABLES * MORE**extra), HASHES + extra
+
+
 @cache
 def _signs(table: int, k: int, turn: int, size: int) -> np.ndarray:
     return np.random.default_rng([SEED, table, k, turn]).integers(0, 2, size) * 2.0 - 1
@@ -148,18 +160,17 @@ def _verified(table: pa.Table, least: float, how: dict) -> Iterator[pa.RecordBat
 
 
 def near_vectors(
-    embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES
+    embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, tables: int | None = None, hashes: int | None = None, probes: int = PROBES
 ) -> DataFrame:
     """For each row: its id, ``n_links`` (other vectors linked directly), ``component_id`` (smallest id reachable) and ``kept``.
 
     Null, empty, zero or non-finite vectors, and those holding a null, link with nothing. Vectors of different lengths do not
-    link. Repeated ids are separate vectors; rows with a null id take part, and ``component_id`` is null only if no
+    link. tables, hashes: by default they follow the number of distinct vectors. Repeated ids are separate vectors; rows with a null id take part, and ``component_id`` is null only if no
     id is reachable. Other columns are ignored.
     """
     spark = embeddings.sparkSession
     prepare(spark)
     parts = n_partitions(spark)
-    how = {"tables": tables, "hashes": hashes, "probes": probes}
     kept_kind = "float" if embeddings.schema[vector_col].dataType.simpleString() == "array<float>" else "double"  # no digit is lost
     v = F.transform(F.col(vector_col), lambda e: e.cast("double"))
     fine = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(v, lambda e: e != 0), F.lit(False))
@@ -168,6 +179,9 @@ def near_vectors(
     classes = rows.where("cls IS NOT NULL").groupBy("cls", "v").agg(F.count("*").alias("copies"), F.min("_id").alias("low"))
     classes = stored(classes, "vectors")  # grouping by the vector itself, so equal names mean equal vectors but for a collision
 
+    wanted = shape_for(classes.count())
+    how = {"tables": tables or wanted[0], "hashes": hashes or wanted[1], "probes": probes}
+
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cls, lengths = b.column(0).to_numpy(), b.column(1).value_lengths().to_numpy()
@@ -177,7 +191,7 @@ def near_vectors(
                 once = np.unique(np.stack([np.repeat(np.arange(len(at)), names.shape[1]), names.ravel()], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(once[:, 1]), pa.array(np.full(len(once), d, np.int32)), pa.array(cls[at][once[:, 0]])], names=["bucket", "d", "cls"])
 
-    entries = stored(classes.select("cls", "v").mapInArrow(enter, "bucket long, d int, cls long"), "entries")
+    entries = stored(classes.select("cls", "v").mapInArrow(worker(enter), "bucket long, d int, cls long"), "entries")
     sizes = entries.groupBy("bucket", "d").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / SPLIT).cast("int")).drop("m")
     placed = entries.join(sizes, ["bucket", "d"])
     mine = F.pmod(F.xxhash64("cls", "bucket"), F.col("blocks")).cast("int")
@@ -209,7 +223,7 @@ def near_vectors(
         if held:
             yield from done(True)
 
-    found = stored(placed.mapInArrow(verify, "cls long, n long, root long"), "links")
+    found = stored(placed.mapInArrow(worker(verify), "cls long, n long, root long"), "links")
     linked = found.groupBy("cls").agg(F.sum("n").alias("n"))
     roots = components(found.select("cls", "root")).withColumnsRenamed({"node": "cls"})
     named = classes.select("cls", "copies", "low").join(linked, "cls", "left").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
