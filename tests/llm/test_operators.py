@@ -243,6 +243,15 @@ def test_vectors(spark):
     want = roots(range(300), [(int(i), int(j)) for i, j in zip(*np.nonzero(close), strict=True)])
     assert all(want[got[k].component_id] == want[k] and got[k].kept == (got[k].component_id == k) for k in range(300))
     assert sum(got[k].component_id == want[k] for k in range(300)) >= 0.9 * 300
+    assert [neighbours.shape_for(n) for n in (0, 10**8, 10**9, 10**10)] == [(6, 3), (6, 3), (11, 4), (18, 5)]
+    unit = rng.normal(size=(2000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    other = rng.normal(size=unit.shape)
+    other -= (other * unit).sum(1, keepdims=True) * unit
+    other = 0.9 * unit + np.sqrt(1 - 0.81) * other / np.linalg.norm(other, axis=1, keepdims=True)  # pairs at cosine 0.9, the hardest ones
+    for tables, hashes in ((6, 3), (11, 4), (18, 5)):
+        a, b = (neighbours.bucket_names(v, tables, hashes) for v in (unit, other))
+        assert (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean() >= 0.9
     more = [(7, [1.0, 0.0], "clash"), (7, [1.0, 0.0], "clash"), (None, [2.0, 0.0], None), (9, [1.0, 0.1], ""), (None, None, ""), (3, [1.0, 0.0, 0.0], "")]
     out = neighbours.near_vectors(spark.createDataFrame(more, "vec_id long, embedding array<double>, n_links string")).collect()
     assert Counter((r.vec_id, r.n_links, r.component_id) for r in out) == Counter({(7, 3, 7): 2, (None, 3, 7): 1, (9, 3, 7): 1, (None, 0, None): 1, (3, 0, 3): 1})

@@ -15,6 +15,8 @@ from ..shipping import ship
 
 #: Rows sent to a Python worker at once; documents are a few KB, so a batch is a few MB.
 ROWS_PER_BATCH = 1024
+#: Pieces of a partition that a task takes one after the other.
+PIECES = 8
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -106,3 +108,17 @@ def worker(run: Callable, name: str | None = None, make: Callable | None = None,
             pass
 
     return task
+
+
+def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of sorted batches, those of one key together."""
+    now, held = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            if r[key] != now:
+                if held:
+                    yield now, held
+                now, held = r[key], []
+            held.append(r)
+    if held:
+        yield now, held

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import n_partitions, prepare, stored, worker
+from .shared import PIECES, by_key, n_partitions, prepare, stored, worker
 from .words import grams, mix, run_codes, text_slices, word_codes, word_spans
 
 #: Words in the runs that anchors are taken from.
@@ -33,9 +33,7 @@ ROWS = 2
 #: at most. Beyond that, more windows reach the second pass, and the result stays the same.
 SPARSE, FEWEST_BITS, MOST_BITS = 16, 16, 29
 #: Cells, windows and bytes that a map task holds before it sends them on.
-HELD_CELLS, HELD_WINDOWS, HELD_BYTES = 4_000_000, 2_000_000, 32 << 20
-#: Pieces that a reduce task takes one after the other, for each partition.
-PIECES = 8
+HELD_CELLS, HELD_WINDOWS, HELD_BYTES = 2_000_000, 1_000_000, 16 << 20
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -102,27 +100,13 @@ def _sketches(docs: DataFrame, n: int, shards: int) -> DataFrame:
     return docs.mapInArrow(worker(run), "shard int, cells binary, again binary")
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
-    """The rows of sorted batches, those of one key together."""
-    now, held = None, []
-    for b in batches:
-        for r in b.to_pylist():
-            if r[key] != now:
-                if held:
-                    yield now, held
-                now, held = r[key], []
-            held.append(r)
-    if held:
-        yield now, held
-
-
 def repeated_cells(docs: DataFrame, n: int) -> list[np.ndarray]:
     """For each row of the merged sketch a bit array of the cells counted at least twice, of a width that follows their number."""
     parts = n_partitions(docs.sparkSession)
     shards = 1 << min(MOST_BITS - 3, max(0, (PIECES * parts - 1).bit_length()))
 
     def merge(batches):
-        for shard, rows in _by_key(batches, "shard"):
+        for shard, rows in by_key(batches, "shard"):
             cells = [np.frombuffer(r["cells"], np.uint32) for r in rows]
             twice = [c[np.unpackbits(np.frombuffer(r["again"], np.uint8), count=len(c)).astype(bool)] for c, r in zip(cells, rows, strict=True)]
             ordered = np.sort(np.concatenate(cells))
@@ -292,7 +276,7 @@ def _repeats(packed: DataFrame, n: int, parts: int) -> DataFrame:
     buckets = PIECES * parts
 
     def judge(batches):
-        for _, rows in _by_key(batches, "shard"):
+        for _, rows in by_key(batches, "shard"):
             held = [_unpacked(r, "lengths") for r in rows if r["text"] is not None]
             known = [_each_window(*_unpacked(r, "lengths")) for r in rows if r["text"] is None]
             if held:
@@ -311,7 +295,7 @@ def _repeats(packed: DataFrame, n: int, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in got)], names=[x.split()[0] for x in _FOUND.split(", ")])
 
     def gather(batches):
-        for _, rows in _by_key(batches, "bucket"):
+        for _, rows in by_key(batches, "bucket"):
             held = [_unpacked(r) for r in rows]
             ids, tags, counts, places = _by_document(*(np.concatenate([x[k] for x in held]) for k in range(3)))
             ends = np.cumsum(counts, dtype=np.int64)
