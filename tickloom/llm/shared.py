@@ -35,6 +35,19 @@ def shared_folder(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it is deleted when the driver ends."""
+    sc = spark.sparkContext
+    path = f"{shared_folder(spark)}/tickloom/{sc.applicationId}"
+    if getattr(sc, "_tickloom_folder", None) != path:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(p)
+        files.deleteOnExit(p)
+        sc._tickloom_folder = path
+    return path
+
+
 def prepare(spark: SparkSession) -> None:
     """Makes the package importable in Python workers, and sets their batch size unless the session has chosen one."""
     ship(spark)
@@ -45,10 +58,11 @@ def prepare(spark: SparkSession) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and returns the table read back.
 
-    This cuts the lineage: a lost executor costs no recomputation, and several readers share one pass.
+    This cuts the lineage: a lost executor costs no recomputation, and several readers share one pass. The table lasts as long
+    as the application.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tickloom/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .shared import Memo, n_partitions, prepare, shared_folder, worker
+from .shared import Memo, n_partitions, prepare, run_folder, worker
 from .words import text_slices
 
 SEGMENT = 1 << 22
@@ -285,5 +285,5 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids
 
 
 def new_path(spark: SparkSession) -> str:
-    """A new place for a token file in the shared folder."""
-    return f"{shared_folder(spark)}/tickloom/tokens-{uuid.uuid4().hex}"
+    """A new place for a token file that lasts as long as the application."""
+    return f"{run_folder(spark)}/tokens-{uuid.uuid4().hex}"
