@@ -1,6 +1,10 @@
 import json
+import os
 import random
+import shutil
+import subprocess
 import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -320,10 +324,13 @@ def test_a_capture_after_its_tick_raises(spark):
         C.not_after_tick(rows.withColumn("present", F.lit(True))).collect()
 
 
-def test_entry_without_the_subpackage():
-    import __spark_entry__ as e
-
-    assert "q1_cycle_table" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+def test_entry_without_the_subpackage(tmp_path):
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "tickloom", tmp_path / "tickloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import sys, __spark_entry__ as e; assert e.llm is None and set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()), *[m for m in sys.modules if 'llm' in m])"
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, check=True)
+    assert int(run.stdout) >= 44  # and no module of the subpackage
 
 
 def test_store_keeps_missing_frames_out_of_pairs(spark, tmp_path):
