@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import unicodedata
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import components, jaccard, licenses, neighbours, pieces, quality, rans
 from tickloom.llm import words as wordcodes
@@ -15,7 +17,7 @@ from tickloom.llm.fingerprints import edited_fingerprints
 from tickloom.llm.language import DIM, fit_languages, identify_languages, letter_vector, text_vectors
 from tickloom.llm.mixing import mix_sources
 from tickloom.llm.queries import vocabulary
-from tickloom.llm.shared import Memo
+from tickloom.llm.shared import Memo, flagged, run_folder
 from tickloom.llm.substrings import dedup_substrings
 from tickloom.llm.token_files import UnitEncoder, new_path, read_tokens, write_tokens
 
@@ -88,6 +90,25 @@ def test_jaccard(docs, monkeypatch, long, block, cluster):
     assert links and {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()} == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_jaccard_beyond_what_is_broadcast(spark, docs, monkeypatch):
+    """Of a large table only the texts asked for are joined, and tables that nothing reads again are deleted."""
+    key = lambda *names: [F.col(c) for c in names]
+    table = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id")).alias("_id"), F.col("id").cast("string").alias("_text"), F.xxhash64("id").alias("_tag"))
+    wanted = table.where("_id % 100 = 7 OR _id IS NULL").select("_id", "_tag", F.lit(1).alias("cls"))
+    near = flagged(table, key("_id", "_tag"), wanted, key("_id", "_tag"), "near").where("near")
+    assert near.count() < 201 + 20_000 // 50 and near.join(wanted, "_tag").count() == 201
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    found = jaccard._texts_of(wanted, table)
+    assert found.count() == 201 and "_maybe" in found._jdf.queryExecution().toString()
+    folder = run_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    got = {tuple(r) for r in jaccard.jaccard_components(docs).collect()}
+    new = {x.split("-")[0] for x in set(os.listdir(folder)) - before}
+    assert "clustered" in new and not new & {"lists", "posted"}
+    monkeypatch.undo()
+    assert got == {tuple(r) for r in jaccard.jaccard_components(docs).collect()}
+
+
 def test_substrings(docs):
     owner, got = {}, {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in dedup_substrings(docs).collect()}
     texts = {i: words(x) for i, x, *_ in corpus()}
