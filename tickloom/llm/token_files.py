@@ -88,8 +88,10 @@ class UnitEncoder:
         out = []
         for at in range(0, len(units), 2000):
             some = units[at : at + 2000]
-            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(u.encode()) for u in some])) + 1
+            text = "".join(some)
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            size = list(map(len, some)) if text.isascii() else [len(u.encode()) for u in some]
+            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(size)) + 1
             data, size = ids.tobytes(), ids.itemsize
             out += [data[a * size : b * size] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         return out
@@ -100,8 +102,8 @@ class UnitEncoder:
     def _remembered(self, units: list[str]) -> list[bytes]:
         """The ids of distinct units, each beginning with a space or a line break."""
         got = list(map(self.known.young.get, units))
-        missing = [k for k, g in enumerate(got) if g is None]
-        if missing:
+        if None in got:
+            missing = [k for k, g in enumerate(got) if g is None]
             for k, ids in zip(missing, self.known.revived([units[k] for k in missing]), strict=True):
                 got[k] = ids
             missing = [k for k in missing if got[k] is None]
@@ -123,14 +125,17 @@ class UnitEncoder:
         trimmed = np.zeros(len(units), bool)
         trimmed[some] = True
         tail = np.zeros(len(units), np.int64)
-        for j in range(7):
-            tail[some] = np.where(j < marks[some], tail[some] << 8 | data[np.minimum(ends[some] - marks[some] + j, ends[some] - 1)], tail[some])
+        at = cut_ends[some] - cut_starts[some] + starts[some]  # where the marks begin
+        while len(some):  # most have one
+            tail[some] = tail[some] << 8 | data[at]
+            more = at + 1 < ends[some]
+            some, at = some[more], at[more] + 1
         first = data[starts]
         text = lambda x: pa.scalar(x, pa.large_string())
         keys = pc.if_else(pa.array(trimmed), cores, units)
         keys = pc.if_else(pa.array(first == 0x0C), text("\n"), pc.replace_substring(keys, "\x0b", "\n"))
         keys = pc.binary_join_element_wise(pc.if_else(pa.array(first > 0x0C), text(" "), text("")), keys, text("")).dictionary_encode()
-        names, tails = keys.dictionary.to_pylist(), np.unique(tail)
+        names, tails = keys.dictionary.to_numpy(zero_copy_only=False).tolist(), np.unique(tail)
         specials = np.flatnonzero(first == 0x0C)
         special = [end if len(u) == 1 else whole[int(u[1:])] for u in units.take(pa.array(specials)).to_pylist()]
         # a table of cores, marks and special units; each unit is a core without its line break, if it has none, and marks
@@ -186,7 +191,9 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _gathered(flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The runs of n entries of ``flat`` that begin at each place, one after the other."""
-    return flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    at = np.repeat(begin - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return flat.take(at)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
